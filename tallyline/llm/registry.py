@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyline.llm import exact_dedup, mixing, packing, substring_dedup, suffix_dedup
+from tallyline.llm import exact_dedup, mixing, ngram_join, packing, substring_dedup, suffix_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_substring_dedup": substring_dedup.op2_substring_dedup,
+        "op3_ngram_jaccard_join": ngram_join.op3_ngram_jaccard_join,
         "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
         "op5_best_fit_packing": packing.op5_best_fit_packing,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
