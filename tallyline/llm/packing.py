@@ -34,7 +34,7 @@ class Encoder:
     """Ids of many texts at once, equal to the tokenizer's own.
 
     The byte-level pre-tokenizer always splits before a single space between two visible characters, after a run of
-    letters, and on both sides of a line feed between visible characters, so a text's ids are those of its units, split
+    letters, and on both sides of a lone line feed between visible characters, so a text's ids are those of its units, split
     there. A direct-mapped cache of fixed size keeps the ids of short units; units that it lacks are encoded together,
     one call a slice.
     """
@@ -98,7 +98,7 @@ class Encoder:
         line = buf == 0x0A
         cut |= prev_letter & (buf < 0x80) & ~self.letter[buf]
         cut |= line & prev_ok[:-1]
-        cut[1:] |= line[:-1] & self.letter[buf[1:]]
+        cut[1:] |= line[:-1] & prev_ok[:-2] & self.letter[buf[1:]]
         regular = cut & (buf == 0x20) & next_ok  # where a unit that may be joined to others begins
         cut[offsets[:-1][offsets[:-1] < n]] = True
         regular[offsets[:-1][offsets[:-1] < n]] = False
