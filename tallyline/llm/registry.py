@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from tallyline.llm import exact_dedup, language_id, license_scan, mixing, ngram_join, packing, quality, substring_dedup, suffix_dedup, topk_search
 
 
@@ -21,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mix_sources": mixing.op8_mix_sources,
         "op9_exact_top_k": topk_search.op9_exact_top_k,
         "op10_quality_classifier": quality.op10_quality_classifier,
+        "pipeline": corpus_pipeline.run,
     }
 
 
