@@ -311,9 +311,8 @@ def without_repeats(docs: DataFrame, rule: Rule, id_col: str, text_col: str) ->
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-stored // (PART_MB << 20)) if stored < 1 << 60 else 0)
     text = F.col(text_col)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
-    docs = docs.withColumn("shard", F.pmod(F.xxhash64("id", "th"), F.lit(parts)).cast("int"))
-    slim = docs.select("id", "th", "shard", "text")
-    told = slim.mapInArrow(seed_entries(rule, parts), BLOB).groupBy("kind", "part").applyInArrow(joined_seeds(rule), BLOB)
-    runs = slim.groupBy("shard").cogroup(told.groupBy("part")).applyInArrow(extended(rule, parts), BLOB)
+    docs = docs.withColumn("shard", F.pmod(F.xxhash64("id", "th"), F.lit(parts)).cast("int"))  # both groupings below are of this frame, so that its exchange is used twice
+    told = docs.mapInArrow(seed_entries(rule, parts), BLOB).groupBy("kind", "part").applyInArrow(joined_seeds(rule), BLOB)
+    runs = docs.groupBy("shard").cogroup(told.groupBy("part")).applyInArrow(extended(rule, parts), BLOB)
     runs = runs.groupBy("kind", "part").applyInArrow(joined_windows(rule), BLOB)
     return docs.groupBy("shard").cogroup(runs.groupBy("part")).applyInArrow(kept(rule), "doc_id long, n long, spans array<struct<start: long, end: long>>, kept binary")
