@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyline.llm._frames import table, without_white_space
+from tallyline.llm._frames import table, without_white_space, written
 
 #: Code points of the normalised text that the prefix hash covers.
 PREFIX = 64
@@ -36,7 +36,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     norm = without_white_space(F.col(text_col))
     rows = docs.select(F.col(id_col).alias("_id"), F.char_length(F.coalesce(F.col(text_col), F.lit(""))).alias("_cp"), norm.alias("_norm"))
     rows = rows.select("_id", "_cp", F.octet_length("_norm").alias("_len"), F.xxhash64(F.left("_norm", F.lit(PREFIX))).alias("_pre"), "_norm")
-    cells = rows.groupBy("_len", "_pre").agg(F.count("*").alias("_n"))
+    cells = written(rows.groupBy("_len", "_pre").agg(F.count("*").alias("_n")))
     lengths = cells.groupBy("_len").agg(F.sum("_n").alias("_m")).filter("_m > 1")
     survive = cells.join(lengths, "_len", "left_semi").filter("_n > 1")
     slot = F.pmod(F.xxhash64("_len", "_pre"), F.lit(BITS))
@@ -45,9 +45,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hit = F.coalesce(F.getbit(byte, F.pmod(at, F.lit(8)).cast("int")) == 1, F.lit(False))
     rows = rows.withColumn("_no", F.floor(slot / _WORD).cast("int")).join(F.broadcast(surviving_bitmap(survive)), "_no", "left")
     rows = rows.withColumn("_hit", hit).withColumn("_sha", F.sha2(F.col("_norm"), 256) if digest else F.when(F.col("_hit"), F.sha2(F.col("_norm"), 256)))
-    rows = rows.select("_id", "_cp", "_sha", F.when(F.col("_hit"), F.col("_sha")).otherwise(F.xxhash64("_id", "_pre").cast("string")).alias("_key"), "_hit")
+    rows = written(rows.select("_id", "_cp", "_sha", F.when(F.col("_hit"), F.col("_sha")).otherwise(F.xxhash64("_id", "_pre").cast("string")).alias("_key"), "_hit"))
     best = F.min(F.struct((-F.col("_cp")).alias("c"), F.col("_id").isNull().alias("n"), F.col("_id").alias("i")))
-    groups = rows.filter("_hit").groupBy(F.col("_key").alias("_g")).agg(F.count("*").alias("_n"), best.alias("_best")).filter("_n > 1")
+    groups = written(rows.filter("_hit").groupBy(F.col("_key").alias("_g")).agg(F.count("*").alias("_n"), best.alias("_best")).filter("_n > 1"))
     out = rows.join(groups, F.col("_key") == F.col("_g"), "left")
     keep = F.when(F.col("_n").isNull(), F.col("_id")).otherwise(F.col("_best.i"))
     kept = F.col("_n").isNull() | (F.col("_id").eqNullSafe(F.col("_best.i")) & (F.col("_cp") == -F.col("_best.c")))
