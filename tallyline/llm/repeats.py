@@ -184,6 +184,14 @@ def joined_seeds(rule: Rule) -> Callable:
     return run
 
 
+def spread(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
+    """Flags of the n places that some [start, end) holds."""
+    change = np.zeros(n + 1, np.int64)
+    np.add.at(change, starts, 1)
+    np.add.at(change, ends, -1)
+    return np.cumsum(change[:-1]) > 0
+
+
 def runs_of(flags: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Text, first place and last + 1 of the maximal runs of flags that stay within a text."""
     edge = np.zeros(len(flags) + 1, bool)
@@ -215,16 +223,15 @@ def extended(rule: Rule, parts: int) -> Callable:
             roll, _, c, doc, lo, hi = seeds(rule, digits, o)
             mine = mixed(key[doc + a] ^ c)
             settled, extend = np.isin(mine, want[SETTLED]), np.isin(mine, want[EXTEND])
-            done, open_ = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
-            for change, which in ((done, settled), (open_, extend)):
-                np.add.at(change, lo[which], 1)
-                np.add.at(change, hi[which], -1)
-            done, open_ = np.cumsum(done)[:n] > 0, np.cumsum(open_)[:n] > 0
+            through = lambda which: spread(lo[which], hi[which], n)
+            done = through(settled)
+            # A settled window needs no extension, but for the delegate of its context, which others may only match in part.
+            open_ = through(extend & settled) | (through(extend & ~settled) & ~done)
             d, s, e = runs_of(covered(np.flatnonzero(done), rule.length, n), o)
             r = np.zeros(len(s), RUN)
             r["a"], r["b"] = s - o[d], e - o[d]
             out += packed(1, shard[d + a], d + a, r, ids, th, shard)
-            at = np.flatnonzero(open_)  # a settled window still goes along, as others may only match it
+            at = np.flatnonzero(open_)
             if len(at):
                 x = Rolling(mixed(digits + np.uint64(0x51ED270B)))
                 d = np.searchsorted(o, at, "right") - 1
