@@ -200,7 +200,8 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     total = families.count()
     members = classes.select(F.col("c1").alias("node"), "members", F.col("rep.doc_id").alias("doc_id"), F.col("rep.th").alias("th"))
     members = written(members.join(families, "node").join(sizes, "family"))
-    sets = docs.join(members, ["doc_id", "th"]).select("node", "members", "family", "blocks", "text").mapInArrow(sets_of(n), "node long, members long, family long, blocks int, set binary")
+    # A merge join at every size: whether members would fit a broadcast depends on the input.
+    sets = docs.join(members.hint("merge"), ["doc_id", "th"]).select("node", "members", "family", "blocks", "text").mapInArrow(sets_of(n), "node long, members long, family long, blocks int, set binary")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     sets = sets.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("o", other)
     sets = sets.withColumn("bi", F.least("mine", "o")).withColumn("bj", F.greatest("mine", "o"))
