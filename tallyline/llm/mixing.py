@@ -19,7 +19,7 @@ EPOCHS = 3
 #: Slopes of the weight schedules, by the same place: weight(t) = target * (1 + slope * (2t - 1)).
 SLOPES = (0.5, -0.5, 0.0)
 #: Rows of one source that one task sorts, about.
-CELL_ROWS = 20_000
+CELL_ROWS = 2_000
 
 
 def _by_place(values: tuple[float, ...], place: Column) -> Column:
