@@ -24,7 +24,7 @@ from tallyline.llm._frames import running_total, table, written
 CAPACITY = 1024
 END = 2
 #: Pieces of one length that one task sorts, about.
-CELL_ROWS = 20_000
+CELL_ROWS = 2_000
 #: Slots of a worker's cache of encoded units, and the longest unit that it takes.
 SLOTS, UNIT = 1 << 21, 64
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
