@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -23,3 +26,17 @@ def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
 def least_by(df: DataFrame, keys: list[str], order: list[str], values: list[str], into: str) -> DataFrame:
     """A row per key with struct `into` of the values in the first row of the order; partial aggregates, so hot keys are safe."""
     return df.groupBy(*keys).agg(F.min_by(F.struct(*values), F.struct(*order)).alias(into))
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder in spark.checkpoint.dir and read again: what several later steps use is computed
+    once, plans stay short, and a lost executor costs nothing that was written."""
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        found = spark.sparkContext._jsc.sc().getCheckpointDir()
+        root = found.get() if found.isDefined() else f"file://{tempfile.mkdtemp(prefix='tallyline-')}"
+        spark.sparkContext.setCheckpointDir(root)
+    path = f"{root}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

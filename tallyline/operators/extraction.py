@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from tallyline import constants as K
 from tallyline.functions.text import case_key, case_mentions, dates_iso, is_noise, letters
 from tallyline.functions.tiers import classify
-from tallyline.operators._common import first_by, small
+from tallyline.operators._common import first_by, small, written
 from tallyline.operators.layout import PAGE, cells, counsel_columns, joined, lines
 from tallyline.operators.linking import link_names, name_windows
 from tallyline.operators.ranges import expand_case_cells
@@ -279,7 +279,7 @@ def reconcile(items: DataFrame, names: DataFrame, hits: DataFrame) -> tuple[Data
     added = best.select(F.col("host").alias("item_id"), (F.col("line") + 1_000_000).cast("int").alias("name_ord"), F.col("printed").alias("name"), F.when(F.col("party_item").isNotNull(), "party").otherwise("unplaced").alias("match_role"), F.lit("unknown").alias("side"), F.lit(None).cast("string").alias("side_detail"), F.lit("B").alias("source"), (F.col("party_item").isNull() & ~F.col("within") & ~F.col("orphan")).alias("near_only"), F.col("person").alias("advocate_key"), F.lit(False).alias("confirmed_by_both"))
     orphans = best.filter("orphan").groupBy("host", *PAGE).agg(F.max("y").alias("y_top"), F.first("printed").alias("raw_text"))
     orphans = orphans.select(F.col("host").alias("item_id"), *PAGE, F.col("file").alias("source_file"), "raw_text", "y_top", F.col("y_top").alias("y_bot"), _none().alias("case_numbers"), _none().alias("case_keys"))
-    items = items.unionByName(orphans, allowMissingColumns=True).join(small(low), PAGE, "left").withColumns({"low_page": F.coalesce("low_page", F.lit(False)), "was_ocr": F.coalesce("was_ocr", F.lit(False))})
+    items = items.unionByName(orphans, allowMissingColumns=True).join(low, PAGE, "left").withColumns({"low_page": F.coalesce("low_page", F.lit(False)), "was_ocr": F.coalesce("was_ocr", F.lit(False))})
     return items, names.unionByName(added)
 
 
@@ -291,20 +291,19 @@ def bad_files(items: DataFrame, pages: DataFrame) -> DataFrame:
 
 def read_documents(pages: DataFrame, spans: DataFrame, hsegs: DataFrame, vsegs: DataFrame, roster: DataFrame) -> dict[str, DataFrame]:
     """items, item_names, reposted, types, roles and bad_files of documents given as spans and rules."""
-    page_lines = lines(spans)
-    table_cells = cells(spans, hsegs, vsegs)
-    types = detect_types(page_lines)
-    roles = assign_roles(table_cells, types)
-    context = page_context(page_lines, pages)
-    rows = ruled_rows(table_cells, roles)
+    page_lines, table_cells = written(lines(spans)), written(cells(spans, hsegs, vsegs))
+    types = written(detect_types(page_lines))
+    roles = written(assign_roles(table_cells, types))
+    context = written(page_context(page_lines, pages))
+    rows = written(ruled_rows(table_cells, roles))
     a_items, a_names = ruled_items(rows, context, pages)
     open_pages = pages.join(table_cells.select(*PAGE).distinct(), PAGE, "left_anti")
     notice = types.filter("doc_type = 'adjournment'").select("file")
     list_pages, notice_pages = open_pages.join(notice, "file", "left_anti"), open_pages.join(notice, "file", "left_semi")
     on = lambda p: page_lines.join(p.select(*PAGE), PAGE, "left_semi")
     b_items, b_names = column_items(on(list_pages), list_pages, spans, context)
-    items, names = a_items.unionByName(b_items), a_names.unionByName(b_names)
-    swept = sweep(page_lines.join(notice, "file", "left_anti"), pages, roster)
-    items, names = reconcile(items, names, swept)
+    items, names = written(a_items.unionByName(b_items)), written(a_names.unionByName(b_names))
+    swept = written(sweep(page_lines.join(notice, "file", "left_anti"), pages, roster))
+    items, names = (written(df) for df in reconcile(items, names, swept))
     reposted = ruled_notices(rows).unionByName(line_notices(on(notice_pages)))
     return {"items": items, "item_names": names, "reposted": reposted, "types": types, "roles": roles, "bad_files": bad_files(items, pages), "lines": page_lines}

@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyline.operators._common import written
 from tallyline.operators.adjournments import apply_adjournments, notice_only
 from tallyline.operators.matching import apply_memory, match_items
 from tallyline.operators.views import by_advocate, by_case, by_court, colleagues, counts, evidence, export_tables, orphans
@@ -31,7 +32,7 @@ class Inputs:
 def run(x: Inputs) -> dict[str, DataFrame]:
     """Lazy results by name: matches, adjourned, notice_only, views, counts, notes, evidence, exports."""
     spark = x.items.sparkSession
-    matches = match_items(x.items, x.item_names, x.roster, x.register)
+    matches = written(match_items(x.items, x.item_names, x.roster, x.register))  # all results come from these
     if x.memory is not None:
         matches = apply_memory(matches, x.memory)
     out: dict[str, DataFrame] = dict(x.more)

@@ -73,13 +73,13 @@ def ledger_entries(matches: DataFrame, date: str) -> DataFrame:
 
 def merge_ledger(ledger: DataFrame, entries: DataFrame, cap: int = K.LEDGER_CAP) -> DataFrame:
     """ledger with entries: earlier values stay, dates are added, and of more than `cap` matters the first seen go."""
-    old = ledger.withColumn("_new", F.lit(0))
-    both = old.unionByName(entries.withColumn("_new", F.lit(1)))
+    base = ledger.agg((F.coalesce(F.max("first_seen"), F.lit(-1)) + 1).alias("_base"))  # one row
+    new = entries.crossJoin(F.broadcast(base)).withColumn("first_seen", F.col("first_seen") + F.col("_base")).drop("_base")
+    both = ledger.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
     first = lambda c: F.min_by(c, F.when(F.nullif(F.col(c), F.lit("")).isNotNull(), F.col("_new"))).alias(c)
     dates = F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_new", "dates"))), lambda d: d["dates"])))
-    merged = both.groupBy("case_key").agg(*[first(c) for c in ("cause_title", "parties", "advocate", "court")], dates.alias("dates"), F.min(F.struct("_new", "first_seen")).alias("_at"))
-    newest = merged.orderBy(F.desc("_at._new"), F.desc("_at.first_seen"), F.desc("case_key")).limit(cap)
-    return newest.select("case_key", "cause_title", "parties", "advocate", "court", "dates", (F.col("_at.first_seen") + F.col("_at._new") * F.lit(1 << 40)).alias("first_seen"))
+    merged = both.groupBy("case_key").agg(*[first(c) for c in ("cause_title", "parties", "advocate", "court")], dates.alias("dates"), F.min("first_seen").alias("first_seen"))
+    return merged.orderBy(F.desc("first_seen"), F.desc("case_key")).limit(cap)
 
 
 def remember(memory: DataFrame, decisions: DataFrame) -> DataFrame:
