@@ -6,7 +6,7 @@
    The components of the stars are families: no two similar classes are in different families, but for the recall
    that the band counts were chosen for.
 3. Within a family all pairs of classes are verified on their full sets. A large family is split into blocks and a task
-   verifies two of them, as one sparse product. Of verified links only counts and a spanning forest leave a task.
+   verifies two of them, as one sparse product. Of verified links only counts and stars leave a task.
 """
 
 from __future__ import annotations
@@ -93,30 +93,31 @@ def signatures(n: int, b: int, r: int) -> Callable:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for all nodes of edges (u, v): the least node of each component, by large and small stars.
 
-    Each round halves the depth of trees; rounds end when edges no longer change, which two sums tell.
+    Each round ties a node's larger neighbours, then all its smaller ones, to the least of them, which halves the depth of
+    trees; rounds end when all trees are stars: no node has two parents, and no parent has one. A round writes once.
     """
     edges = written(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    before = None
     while True:
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state[0] == 0 or state == before:
+        ends = edges.select(F.col("u").alias("n"), F.lit(1).alias("child"), F.lit(0).alias("parent")).union(edges.select(F.col("v").alias("n"), F.lit(0), F.lit(1)))
+        open_ = ends.groupBy("n").agg(F.sum("child").alias("c"), F.max("parent").alias("p")).filter("c > 1 or c + p > 1")
+        if not open_.agg(F.count("*")).first()[0]:
             break
-        before = state
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
-        edges = written(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct())
-        least = written(edges.groupBy("u").agg(F.min("v").alias("m")))
-        edges = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        edges = written(edges.filter("u <> v").distinct())
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
+        edges = written(small.select("e.u", "e.v").filter("u <> v").distinct())
     roots = edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
     return roots.union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
 def linked(similarity: float) -> Callable:
-    """Blocks of classes to links (kind 0: node, number of linked documents) and a spanning forest (kind 1: two nodes)."""
+    """Blocks of classes to links (kind 0: node, number of linked documents) and stars (root, node) of what links tie
+    together: kind 1 in a whole family, where they are the groups, kind 2 in two blocks of one."""
 
     def run(t: pa.Table) -> pa.Table:
-        family, bi, bj, mine = (np.asarray(t.column(k)) for k in ("family", "bi", "bj", "mine"))
+        family, bi, bj, mine, blocks = (np.asarray(t.column(k)) for k in ("family", "bi", "bj", "mine", "blocks"))
         node, members = np.asarray(t.column("node")), np.asarray(t.column("members"))
         sets = [np.frombuffer(x, np.uint64) for x in t.column("set").to_pylist()]
         kind, left, right = [], [], []
@@ -147,18 +148,17 @@ def linked(similarity: float) -> Callable:
             left += node[rows].tolist()
             right += links.tolist()
             seen = np.zeros(m, bool)
-            for s in range(m):  # a spanning forest, breadth first
+            for s in range(m):  # from the least node of each tree, breadth first
                 if seen[s]:
                     continue
                 seen[s] = True
                 queue = [s]
                 while queue:
-                    i = queue.pop()
-                    new = np.flatnonzero(ok[i] & ~seen)
+                    new = np.flatnonzero(ok[queue].any(axis=0) & ~seen)
                     seen[new] = True
-                    queue += new.tolist()
-                    kind += [1] * len(new)
-                    left += [int(node[rows[i]])] * len(new)
+                    queue = new.tolist()
+                    kind += [1 if blocks[rows[0]] == 1 else 2] * len(queue)
+                    left += [int(node[rows[s]])] * len(queue)
                     right += node[rows[new]].tolist()
         return pa.table([pa.array(kind, pa.int32()), pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["kind", "a", "b"])
 
@@ -207,9 +207,11 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sets = sets.withColumn("bi", F.least("mine", "o")).withColumn("bj", F.greatest("mine", "o"))
     bundles = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BUNDLE))
     task = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("family"), F.lit(bundles))).otherwise(F.xxhash64("family", "bi", "bj"))
-    found = written(sets.withColumn("task", task).drop("blocks", "o").groupBy("task").applyInArrow(linked(similarity), "kind int, a long, b long"))
+    found = written(sets.withColumn("task", task).drop("o").groupBy("task").applyInArrow(linked(similarity), "kind int, a long, b long"))
     links = found.filter("kind = 0").groupBy(F.col("a").alias("node")).agg(F.sum("b").alias("links"))
-    groups = components(found.filter("kind = 1").select(F.col("a").alias("u"), F.col("b").alias("v")))
+    stars = found.filter("kind = 1")
+    groups = stars.select(F.col("b").alias("node"), F.col("a").alias("root")).union(stars.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
+    groups = groups.union(components(found.filter("kind = 2").select(F.col("a").alias("u"), F.col("b").alias("v"))))
     known = classes.select("c1", "c2", "n", F.col("rep.doc_id").alias("class_id"), "members")
     tied = known.join(groups, known["c1"] == groups["node"]).drop("node")
     tied = tied.join(tied.groupBy("root").agg(F.min("class_id").alias("least")), "root").select(F.col("c1").alias("t1"), F.col("c2").alias("t2"), "least")
