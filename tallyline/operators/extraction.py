@@ -289,8 +289,16 @@ def bad_files(items: DataFrame, pages: DataFrame) -> DataFrame:
     return pages.select(*PAGE).join(low, PAGE, "left").groupBy("file").agg(F.avg(F.coalesce("l", F.lit(0))).alias("low_share")).filter(F.col("low_share") > K.LOW_FILE_SHARE)
 
 
+def bad_pages(items: DataFrame, page_lines: DataFrame, most: int = 4000) -> DataFrame:
+    """(file, page, why, text) of pages whose columns could not be separated, with the beginning of their text to look at."""
+    low = items.filter("low_page").select(*PAGE).distinct()
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda s: s["text"]), "\n")
+    pages = page_lines.join(low, PAGE, "left_semi").groupBy(*PAGE).agg(F.substring(text, 1, most).alias("text"))
+    return pages.select(*PAGE, F.lit("names were found, but none where counsel names sit").alias("why"), "text")
+
+
 def read_documents(pages: DataFrame, spans: DataFrame, hsegs: DataFrame, vsegs: DataFrame, roster: DataFrame) -> dict[str, DataFrame]:
-    """items, item_names, reposted, types, roles and bad_files of documents given as spans and rules."""
+    """All that documents given as spans and rules hold, by name: items, item_names, reposted, and how they were read."""
     page_lines, table_cells = written(lines(spans)), written(cells(spans, hsegs, vsegs))
     types = written(detect_types(page_lines))
     roles = written(assign_roles(table_cells, types))
@@ -306,4 +314,4 @@ def read_documents(pages: DataFrame, spans: DataFrame, hsegs: DataFrame, vsegs:
     swept = written(sweep(page_lines.join(notice, "file", "left_anti"), pages, roster))
     items, names = (written(df) for df in reconcile(items, names, swept))
     reposted = ruled_notices(rows).unionByName(line_notices(on(notice_pages)))
-    return {"items": items, "item_names": names, "reposted": reposted, "types": types, "roles": roles, "bad_files": bad_files(items, pages), "lines": page_lines}
+    return {"items": items, "item_names": names, "reposted": reposted, "types": types, "roles": roles, "bad_files": bad_files(items, pages), "bad_pages": bad_pages(items, page_lines), "capped_ranges": expand_case_cells(rows, "item_id", "case_cell")[1], "probes": probe_columns(table_cells), "lines": page_lines}

@@ -1,10 +1,9 @@
 """Lines, ruled tables, roles, items and the sweep over hand-made pages."""
 
-import pytest
 from pyspark.sql import functions as F
 
 from tallyline.operators.extraction import column_items, detect_types, line_notices, nearest_items, page_context, read_documents, split_party_counsel
-from tallyline.operators.layout import cells, centres, joined, lines, regimes
+from tallyline.operators.layout import cells, centres, completed, lines, regimes
 
 PAGES = "file string, page int, width double, height double, was_ocr boolean"
 SPANS = "file string, page int, ord long, x double, y double, w double, text string"
@@ -117,6 +116,7 @@ def test_documents_without_rules(spark):
     out = read_documents(pages, s, h, v, roster)
     confirmed = {r["name"]: r["confirmed_by_both"] for r in out["item_names"].collect()}
     assert confirmed["E.GANESH"] and not confirmed["T.DEVI"]
+    assert out["bad_pages"].count() == out["capped_ranges"].count() == 0
 
 
 def test_notices_by_line(spark):
@@ -126,9 +126,14 @@ def test_notices_by_line(spark):
     assert got == [(["WP/10/2026"], "2026-08-04", "ruled"), (["WP/11/2026"], "2026-08-04", "inferred")]
 
 
+def test_thin_pages_take_recognised_spans(spark):
+    pages, s, h, v = frames(spark, [("f", 1, 500.0, 800.0, True), ("f", 2, 500.0, 800.0, False)], spans_of([(1, 1, "thin")]) + spans_of([(1, 1, "x" * 300)], page=2))
+    more = frames(spark, [], spans_of([(5, 5, "seen")]) + spans_of([(5, 5, "not")], page=2))[1]
+    assert sorted(r["text"] for r in completed(s, more, regimes(pages, s, h, v)).collect()) == ["seen", "thin", "x" * 300]
+
+
 def test_nearest(spark):
     items = spark.createDataFrame([("a", "f", 1, 100.0, 80.0), ("b", "f", 1, 60.0, 50.0)], "item_id string, file string, page int, y_top double, y_bot double")
     points = spark.createDataFrame([("f", 1, y) for y in (90.0, 70.0, 55.0, 10.5, 5.0)], "file string, page int, y double")
     got = {r["y"]: (r["item_id"], r["within"]) for r in nearest_items(points, items).collect()}
     assert got == {90.0: ("a", True), 70.0: ("a", False), 55.0: ("b", True), 10.5: ("b", False), 5.0: (None, False)}
-    assert joined is not None and pytest is not None
