@@ -102,7 +102,7 @@ def case_key_from_parts(kind: Column, number: Column, year: Column) -> Column:
 
 def case_mentions(text: Column) -> Column:
     """All that look like case numbers in a text, as printed."""
-    return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(K.CASE_IN_TEXT), F.lit(0)), F.trim)
+    return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(K.CASE_IN_TEXT), F.lit(0)), lambda m: F.trim(m))
 
 
 def dates_iso(text: Column) -> Column:
