@@ -29,7 +29,7 @@ def test_lines_and_joins(spark):
     assert got == [(0, "M/s.K.Sankaran"), (1, "next right"), (2, "lone")]
     # The line's height moves to the middle of what it took, so steps of less than the tolerance can add up.
     _, s, _, _ = frames(spark, [], spans_of([(1, 10, "a"), (2, 8.2, "b"), (3, 7.2, "c"), (4, 4, "d")]))
-    assert [r["text"] for r in lines(s).orderBy("line").collect()] == ["a b c", "d"] or lines(s).count() == 2
+    assert [r["text"] for r in lines(s).orderBy("line").collect()] == ["a bc", "d"]
 
 
 def test_centres(spark):
@@ -69,7 +69,7 @@ def test_split_party_counsel(spark):
     got = [(r["s"]["party"], [(a["name"], a["side_detail"]) for a in r["s"]["advocates"]]) for r in df.collect()]
     assert got[0] == ("L.Purusothamman", [("E.Ganesh", None)])
     assert got[1] == ("1. R1 and R2", [("N.Soundarrajan", "R1 and R2"), ("E. Ganesh", "E.O")])
-    assert got[2] == ("R1", [("AKILESH KUMAR", None)]) or got[2][1][0][0] == "AKILESH KUMAR"
+    assert got[2] == ("R1", [("AKILESH KUMAR", "R1")])
     assert got[3] == ("no one throughout", []) and got[4] == got[5] == ("", [])
 
 
@@ -86,7 +86,7 @@ def test_documents_with_rules(spark):
     assert roles[1] == "caseNumber"
     names = {(r["item_id"], r["name"]): r for r in out["item_names"].collect()}
     party = [r for r in names.values() if r["source"] == "B" and r["match_role"] == "party"]
-    assert {r["name"] for r in party} >= {"E. Ganesh"} or {r["name"] for r in party}
+    assert {(r["item_id"], r["advocate_key"]) for r in party} == {(items["A.P.5/2021"]["item_id"], "ESRIKANTH")}
 
 
 def test_documents_without_rules(spark):
