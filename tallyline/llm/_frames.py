@@ -50,6 +50,14 @@ def remove_written() -> None:
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def short_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most 1,000 rows, unless the session says otherwise: texts are long, and each task holds a batch
+    on either side of its Python worker. The setting stays, as plans are lazy."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, "1000")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyline.llm._bytes import LOWER, byte_class, ragged, slices, words
-from tallyline.llm._frames import table
+from tallyline.llm._frames import short_batches, table
 
 #: Slots of a language's table of n-gram counts: 128 KB a language.
 BITS = 15
@@ -150,6 +150,7 @@ def language_id(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_
     any text if nothing could be learned, is `und` with score 0. Ties go to the language first by code point.
     Repeated rows are predicted alike; an empty table gives an empty result; other columns are ignored.
     """
+    short_batches(docs.sparkSession)
     spark = docs.sparkSession
     text = F.col(text_col)
     docs = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.col(lang_col).alias("lang"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("letters"))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyline.llm._bytes import DIGITS, LOWER, LOWER_ALNUM, Rolling, slices, words
-from tallyline.llm._frames import table
+from tallyline.llm._frames import short_batches, table
 
 # Base phrases and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -182,6 +182,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     places in words if nothing was found. Repeated rows are scanned alike; an empty table gives an empty result; other
     columns are ignored.
     """
+    short_batches(docs.sparkSession)
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     every = templates(base, extra)

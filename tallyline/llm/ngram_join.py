@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyline.llm._bytes import DIGITS, NOT_SPACE, Rolling, mixed, slices, within, words
-from tallyline.llm._frames import table, written
+from tallyline.llm._frames import short_batches, table, written
 
 N, SIMILARITY, RECALL = 5, 0.8, 0.9999
 #: MinHashes at most; with this, rows and bands follow from similarity and recall.
@@ -186,6 +186,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     and different texts are different documents; repeated rows are copies. An empty table gives an empty result;
     other columns are ignored.
     """
+    short_batches(docs.sparkSession)
     b, r = bands(similarity, recall)
     top = (1 << 63) - 1
     docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(top)).alias("doc_id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))

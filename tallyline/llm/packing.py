@@ -19,14 +19,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyline.llm._bytes import DIGITS, Rolling, ragged, slices
-from tallyline.llm._frames import running_total, table, written
+from tallyline.llm._frames import running_total, short_batches, table, written
 
 CAPACITY = 1024
 END = 2
 #: Pieces of one length that one task sorts, about.
 CELL_ROWS = 2_000
 #: Slots of a worker's cache of encoded units, and the longest unit that it takes.
-SLOTS, UNIT = 1 << 21, 64
+SLOTS, UNIT = 1 << 20, 64
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -84,7 +84,7 @@ class Encoder:
         n = len(buf)
         if not n:
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
-        if self.used > 1 << 24:
+        if self.used > 1 << 22:
             self.clear()
         prev_ok = np.zeros(n + 1, bool)  # of the byte before each place
         prev_ok[1:] = self.ascii[buf]
@@ -281,6 +281,7 @@ def best_fit_pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
     than `capacity` are cut into pieces of that length, the first taking the remainder. Repeated rows are packed each
     on their own. An empty table gives an empty result; other columns of docs are ignored.
     """
+    short_batches(docs.sparkSession)
     pieces = written(tokenized(docs, tokenizer, id_col, text_col, capacity, end))
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     runs, _ = pack(counts, capacity)

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyline.llm._bytes import DIGITS, LOWER, NOT_SPACE, Rolling, mixed, slices, words
-from tallyline.llm._frames import table, written
+from tallyline.llm._frames import short_batches, table, written
 
 #: Slots of the weight vector; 1 MB.
 SLOTS = 1 << 18
@@ -133,6 +133,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, held_out: Column, id_col:
     0.5. Null and empty texts are scored by the bias. Repeated rows are scored alike; an empty table gives an empty
     result; other columns are ignored.
     """
+    short_batches(docs.sparkSession)
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     known = labels.filter(F.col(label_col).isNotNull()).groupBy(F.col("doc_id").alias("k")).agg((F.avg(label_col) >= 0.5).cast("double").alias("y"))

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyline.llm._bytes import DIGITS, NOT_SPACE, Rolling, covered, mixed, ragged, slices, winnow, within, words
+from tallyline.llm._frames import short_batches
 
 BLOB = "kind int, part int, id binary, th binary, shard binary, n binary, v binary"
 _NAMES = [x.split()[0] for x in BLOB.split(", ")]
@@ -314,6 +315,7 @@ def without_repeats(docs: DataFrame, rule: Rule, id_col: str, text_col: str) ->
     that repeat both are equal copies. An empty table gives an empty result; other columns of docs are ignored.
     """
     spark = docs.sparkSession
+    short_batches(spark)
     stored = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # as stored; unknown is very large
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-stored // (PART_MB << 20)) if stored < 1 << 60 else 0)
     text = F.col(text_col)

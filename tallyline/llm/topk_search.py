@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyline.llm._frames import table, written
+from tallyline.llm._frames import short_batches, table, written
 
 K = 5
 SCALE = 256
@@ -124,6 +124,7 @@ def top_k(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_co
     with its first vector in order of components; candidates that repeat an id are all candidates. Products beyond 64
     bits wrap. An empty table gives an empty result; other columns are ignored.
     """
+    short_batches(vectors.sparkSession)
     spark = vectors.sparkSession
     v = F.col("e")
     fine = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("e"), queries.alias("is_query"))
