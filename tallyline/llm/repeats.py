@@ -34,7 +34,7 @@ SEED = np.dtype([("h", "<u8"), ("c", "<u8"), ("m", "u1")])
 VERDICT = np.dtype([("c", "<u8"), ("f", "u1")])
 WINDOW = np.dtype([("h", "<u8"), ("x", "<u4"), ("at", "<u4"), ("m", "u1")])
 RUN = np.dtype([("a", "<u4"), ("b", "<u4")])
-SETTLED, EXTEND = 1, 2
+SETTLED, EXTEND, DELEGATE = 1, 2, 4
 #: MB of input, as stored, for one shard or bucket.
 PART_MB = 8
 #: Entries that a mapping task gathers before it sends them.
@@ -176,7 +176,7 @@ def joined_seeds(rule: Rule) -> Callable:
         gh, nh = groups(v["h"])
         pairs = np.unique(np.stack([gh, g]), axis=1)[0]
         several = np.bincount(pairs, minlength=nh) > 1  # contexts of a seed
-        f = np.where(repeat, SETTLED, 0) | np.where(delegate & several[gh], EXTEND, 0)
+        f = np.where(repeat, SETTLED, 0) | np.where(delegate & several[gh], EXTEND, 0) | np.where(repeat & delegate, DELEGATE, 0)
         keep = f > 0
         told = np.zeros(int(keep.sum()), VERDICT)
         told["c"], told["f"] = v["c"][keep], f[keep]
@@ -213,7 +213,7 @@ def extended(rule: Rule, parts: int) -> Callable:
         rid, rth, _, rdoc, v = unpacked(verdicts, VERDICT)
         key = doc_keys(ids, th)
         told = mixed(doc_keys(rid, rth)[rdoc] ^ v["c"])
-        want = {f: np.unique(told[(v["f"] & f) > 0]) for f in (SETTLED, EXTEND)}
+        want = {f: np.unique(told[(v["f"] & f) > 0]) for f in (SETTLED, EXTEND, DELEGATE)}
         out: list[tuple] = []
         held: list[tuple] = []
         for a, _, buf, offsets in slices(texts.column("text")):
@@ -223,11 +223,11 @@ def extended(rule: Rule, parts: int) -> Callable:
                 continue
             roll, _, c, doc, lo, hi = seeds(rule, digits, o)
             mine = mixed(key[doc + a] ^ c)
-            settled, extend = np.isin(mine, want[SETTLED]), np.isin(mine, want[EXTEND])
+            settled, extend, delegate = (np.isin(mine, want[f]) for f in (SETTLED, EXTEND, DELEGATE))
             through = lambda which: spread(lo[which], hi[which], n)
             done = through(settled)
-            # A settled window needs no extension, but for the delegate of its context, which others may only match in part.
-            open_ = through(extend & settled) | (through(extend & ~settled) & ~done)
+            # A settled window needs no extension, but in the delegate of any settled context, which others may only match in part.
+            open_ = through(extend) & (~done | through(delegate))
             d, s, e = runs_of(covered(np.flatnonzero(done), rule.length, n), o)
             r = np.zeros(len(s), RUN)
             r["a"], r["b"] = s - o[d], e - o[d]

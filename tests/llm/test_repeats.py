@@ -1,4 +1,5 @@
 import hashlib
+import random
 from collections import defaultdict
 
 import pytest
@@ -79,3 +80,21 @@ def test_queries_over_a_table(spark, query, length, bytewise):
     have = sorted([tuple(r) for r in query(spark, sf).collect()], key=str)
     spans = lambda r: (len(r),) if bytewise else ()
     assert have == sorted([(i, n, sum(b - a for a, b in runs), *spans(runs), hashlib.sha256(k).hexdigest()) for i, n, runs, k in want], key=str)
+
+
+@pytest.mark.parametrize("length,seed,bytewise", [(40, 20, True), (40, 10, True), (13, 8, False)])
+def test_staggered_fragments_match_brute_force(spark, length, seed, bytewise):
+    """Two texts share a passage and a third quotes a part of it, near the passage's end or not."""
+    r = random.Random(7)
+    unit = (lambda k: "".join(r.choice("abcdefgh") for _ in range(k))) if bytewise else (lambda k: [f"w{r.randrange(9000)}" for _ in range(k)])
+    join = (lambda x: x) if bytewise else " ".join
+    rows = []
+    for k in range(300):
+        passage = unit(r.randint(2 * length, 4 * length))
+        size = length + r.randrange(length // 2)
+        a = r.randint(0, len(passage) - size)
+        parts = r.sample([passage, passage, passage[a : a + size]], 3)
+        rows += [(3 * k + j, join(unit(length) + x + unit(length))) for j, x in enumerate(parts)]
+    r.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    assert got(without_repeats(df, Rule(length, seed, bytewise, not bytewise), "doc_id", "text")) == brute(rows, length, bytewise, not bytewise)
