@@ -6,6 +6,7 @@ few array passes a byte and no Python object per word.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,13 +14,11 @@ import pyarrow as pa
 
 #: Bytes of text that are worked on at once; a longer text is a slice of its own.
 SLICE = 1 << 20
-_P = 0x9E3779B97F4A7C15 | 1
-_P_INV = pow(_P, -1, 1 << 64)
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 _rng = np.random.Generator(np.random.PCG64(20240229))
 #: Random digits for the 256 byte values.
 DIGITS = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-ANY_BYTE = np.ones(256, np.uint8)
+#: Bytes of a word that are hashed by numpy; a longer word goes to BLAKE2.
+LONG = 64
 
 
 def byte_class(members: str | bytes | range | list[int], inverse: bool = False) -> np.ndarray:
@@ -66,43 +65,85 @@ def _chunks(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, pa.Array]
         at += len(c)
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base and of its inverse, modulo 2^64."""
-    if len(_powers[0]) < n:
-        size = max(n, 1 << 16)
-        for k, base in enumerate((_P, _P_INV)):
-            p = np.full(size, np.uint64(base))
-            p[0] = 1
-            _powers[k] = np.multiply.accumulate(p)
-    return _powers[0][:n], _powers[1][:n]
-
-
 def mixed(h: np.ndarray) -> np.ndarray:
     """A finalising mix, so that all bits depend on all."""
     h = h ^ (h >> np.uint64(30))
-    h = h * np.uint64(0xBF58476D1CE4E5B9)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(27)
     h *= np.uint64(0x94D049BB133111EB)
     h ^= h >> np.uint64(31)
     return h
 
 
-class Rolling:
-    """Hashes of any [start, end) of a sequence of 64-bit digits, equal for equal sequences wherever they stand."""
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of two hashes in this order. The shift after each product keeps it from being a polynomial in its inputs."""
+    h = a * np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(32)
+    h += b
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(32)
+    return h
+
+
+def blocks(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as a number, with zeros beyond the end."""
+    return np.ndarray((len(buf),), "<u8", np.concatenate([buf, np.zeros(8, np.uint8)]), strides=(1,))
+
+
+def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of the bytes of each [start, end): their length and blocks of eight, mixed in turn; BLAKE2 for long ones."""
+    size = ends - starts
+    h = mixed(size.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    if not len(h):
+        return h
+    eight = blocks(buf)
+    short = size <= LONG
+    live, most = np.flatnonzero(short), int(size[short].max(initial=0))
+    for j in range(0, most, 8):
+        live = live[size[live] > j]
+        x = eight[starts[live] + j]
+        left = np.minimum(size[live] - j, 8).astype(np.uint64)
+        x &= np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.uint64(8) * left)
+        h[live] = mixed(joined(h[live], x))
+    raw = memoryview(buf)
+    for i in np.flatnonzero(~short).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(raw[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    return h
 
-    def __init__(self, digits: np.ndarray):
-        n = len(digits)
-        p, self.inv = powers(n + 1)
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(digits * p[:n], out=self.sums[1:])
 
-    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mixed((self.sums[ends] - self.sums[starts]) * self.inv[starts])
+def windows(digits: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all windows of a few digits, each joined in turn."""
+    n = len(digits) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    h = mixed(digits[:n] + np.uint64(k))
+    for j in range(1, k):
+        h = joined(h, digits[j : j + n])
+    return h
+
+
+def spans(digits: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Hashes of runs of a few digits; equal to those of windows() of the same size."""
+    h = mixed(digits[starts] + sizes.astype(np.uint64)) if len(starts) else np.zeros(0, np.uint64)
+    for j in range(1, int(sizes.max(initial=0))):
+        live = np.flatnonzero(sizes > j)
+        h[live] = joined(h[live], digits[starts[live] + j])
+    return h
+
 
-    def every(self, k: int) -> np.ndarray:
-        """Of all windows of k digits."""
-        n = len(self.sums) - k
-        return mixed((self.sums[k:] - self.sums[:n]) * self.inv[:n]) if n > 0 else np.zeros(0, np.uint64)
+def wide_windows(buf: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all windows of k bytes or digits: those of two windows half as long or more, and so on down."""
+    if len(buf) < k:
+        return np.zeros(0, np.uint64)
+    if buf.dtype == np.uint8 and k >= 8:
+        w, h = 8, mixed(blocks(buf)[: len(buf) - 7])
+    else:
+        w, h = 1, mixed(DIGITS[buf] if buf.dtype == np.uint8 else buf)
+    while w < k:
+        step = min(w, k - w)
+        h = joined(h[: len(h) - step], h[step:])
+        w += step
+    return mixed(h)
 
 
 def words(buf: np.ndarray, offsets: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

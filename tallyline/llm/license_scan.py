@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyline.llm._bytes import DIGITS, LOWER, LOWER_ALNUM, Rolling, slices, words
+from tallyline.llm._bytes import LOWER, LOWER_ALNUM, slices, word_hashes, words
 from tallyline.llm._frames import short_batches, table
 
 # Base phrases and their labels.
@@ -61,7 +61,7 @@ def templates(base: dict[str, str] = BASE, extra: tuple = TEMPLATES) -> list[Tem
 
 def _hash(word: str) -> int:
     raw = np.frombuffer(word.encode(), np.uint8)
-    return int(Rolling(DIGITS[raw]).of(np.array([0]), np.array([len(raw)]))[0])
+    return int(word_hashes(raw, np.array([0]), np.array([len(raw)]))[0])
 
 
 class Vocabulary:
@@ -76,7 +76,7 @@ class Vocabulary:
         """Each word's number, or -1, and texts' offsets among the words."""
         low = LOWER[buf]
         s, e, o = words(low, offsets, LOWER_ALNUM)
-        h = Rolling(DIGITS[low]).of(s, e)
+        h = word_hashes(low, s, e)
         at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
         return np.where(self.hashes[at] == h, at, -1).astype(np.int16), o
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyline.llm._bytes import DIGITS, NOT_SPACE, Rolling, mixed, slices, within, words
+from tallyline.llm._bytes import NOT_SPACE, mixed, slices, spans, windows, within, word_hashes, words
 from tallyline.llm._frames import short_batches, table, written
 
 N, SIMILARITY, RECALL = 5, 0.8, 0.9999
@@ -45,13 +45,13 @@ def shingles(buf: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray,
     A text of fewer words, but one at least, has one n-gram: all of its words.
     """
     s, e, o = words(buf, offsets, NOT_SPACE)
-    roll = Rolling(Rolling(DIGITS[buf]).of(s, e))
-    h = roll.every(n)
+    digits = word_hashes(buf, s, e)
+    h = windows(digits, n)
     at = np.flatnonzero(within(o, len(s), n))
     count = np.diff(o)
     short = np.flatnonzero((count > 0) & (count < n))
     doc = np.concatenate([np.searchsorted(o, at, "right") - 1, short])
-    h = np.concatenate([h[at], roll.of(o[short], o[short + 1])])
+    h = np.concatenate([h[at], spans(digits, o[short], count[short])])
     order = np.lexsort((h, doc))
     doc, h = doc[order], h[order]
     new = np.ones(len(h), bool)

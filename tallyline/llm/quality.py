@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyline.llm._bytes import DIGITS, LOWER, NOT_SPACE, Rolling, mixed, slices, words
+from tallyline.llm._bytes import LOWER, NOT_SPACE, mixed, slices, word_hashes, words
 from tallyline.llm._frames import short_batches, table, written
 
 #: Slots of the weight vector; 1 MB.
@@ -37,13 +37,13 @@ def features(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     s, e, o = words(buf, offsets, NOT_SPACE)
     n = len(s)
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(o))
-    low = Rolling(DIGITS[LOWER[buf]]).of(s, e)
+    low = word_hashes(LOWER[buf], s, e)
     shape = _SHAPE[buf]
     new = np.ones(len(buf), bool)
     new[1:] = shape[1:] != shape[:-1]
     new[s] = True
     at = np.concatenate([[0], np.cumsum(new)])
-    forms = Rolling(DIGITS[shape[new]]).of(at[s], at[e])
+    forms = word_hashes(shape[new], at[s], at[e])
     size = np.maximum(np.diff(o), 1)
     slots, owners = [], []
 

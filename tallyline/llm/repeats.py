@@ -6,17 +6,22 @@ Texts are sequences of symbols (words or bytes). The engine seeds and extends:
    of L symbols holds a kept seed, and equal windows hold it at the same place.
 2. Join. Seeds meet by their hash, together with a hash of their whole context: all that a window through the seed can
    reach, L - seed symbols to the left and to the right. An equal context settles every window through the seed
-   at once. A seed that stands in different contexts is extended.
-3. Extend. Windows through such seeds, and not yet settled, meet by a 96-bit hash of their symbols.
+   at once. Of a seed that stands in different contexts, one bearer of each is extended.
+3. Extend. The contexts of a seed meet as a collection, aligned at the seed. Column by column, one symbol of each
+   context a round, their order and the common prefixes of neighbours are updated (columns.py): first the columns on
+   the right, then those on the left, and after each of these the windows that begin there are judged.
 4. Maximal repeats. Settled windows of a text are merged into runs.
 
-Entries travel as packed arrays, a row per (batch, bucket). Within a batch all bearers of an entry but one are
-settled on the spot, so an entry that a third of all texts hold reaches a bucket once a batch, not once a text. Texts
-are grouped by a hash of their key into shards of some MB; shards and buckets grow in number with the input, not in size.
+Entries travel as packed arrays, a row per (batch, bucket). Within some MB of texts all bearers of a context but one are
+settled on the spot, so a context that a third of all texts hold reaches a bucket once for those, not once a text. A seed
+that stands in very many contexts would gather them all in one bucket; its contexts go to buckets of their own
+and its windows meet by a hash of the whole window instead. Texts are grouped by a hash of their key into shards of some MB;
+shards and buckets grow in number with the input, not in size.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -25,16 +30,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyline.llm._bytes import DIGITS, NOT_SPACE, Rolling, covered, mixed, ragged, slices, winnow, within, words
+from tallyline.llm._bytes import NOT_SPACE, covered, joined, mixed, ragged, slices, spans, wide_windows, winnow, within, word_hashes, words
 from tallyline.llm._frames import short_batches
+from tallyline.llm.columns import repeated_windows
 
 BLOB = "kind int, part int, id binary, th binary, shard binary, n binary, v binary"
 _NAMES = [x.split()[0] for x in BLOB.split(", ")]
-SEED = np.dtype([("h", "<u8"), ("c", "<u8"), ("m", "u1")])
-VERDICT = np.dtype([("c", "<u8"), ("f", "u1")])
+SEED = np.dtype([("h", "<u8"), ("c", "<u8"), ("x", "<u4"), ("at", "<u4"), ("m", "u1")])
+VERDICT = np.dtype([("at", "<u4"), ("f", "u1")])
 WINDOW = np.dtype([("h", "<u8"), ("x", "<u4"), ("at", "<u4"), ("m", "u1")])
 RUN = np.dtype([("a", "<u4"), ("b", "<u4")])
-SETTLED, EXTEND, DELEGATE = 1, 2, 4
+#: Kinds of rows: entries by bucket; verdicts or runs by shard; windows by bucket.
+ENTRIES, TOLD, WINDOWS = 0, 1, 2
+#: Of a seed entry: has several bearers already; its seed is common; it only marks its seed as common.
+SEVERAL, SPREAD, MARK = 1, 2, 4
+#: Of a verdict: all windows through the seed are repeats; extend it; extend it window by window, as the seed is common.
+SETTLED, EXTEND, COMMON = 1, 2, 4
+#: Contexts from which a seed is common, within the texts that are sent together and within a bucket.
+MANY, VERY_MANY = 16, 2048
 #: MB of input, as stored, for one shard or bucket.
 PART_MB = 8
 #: Entries that a mapping task gathers before it sends them.
@@ -51,24 +64,44 @@ class Rule:
     bytewise: bool
     smaller: bool
 
+    @property
+    def reach(self) -> int:
+        """Symbols on either side of a seed that a window through it can hold."""
+        return self.length - self.seed
+
+    @property
+    def stretch(self) -> np.dtype:
+        """A seed's digest and place, and the symbols on its left (from the seed outwards) and right."""
+        sym = "u1" if self.bytewise else "<u8"
+        return np.dtype([("h", "<u8"), ("x", "<u8"), ("at", "<u4"), ("nl", "<u2"), ("nr", "<u2"), ("l", sym, (self.reach,)), ("r", sym, (self.reach,))])
+
 
 def symbols(rule: Rule, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Digits of all symbols, and the texts' offsets among them."""
+    """All symbols, a word by its hash, and the texts' offsets among them."""
     if rule.bytewise:
-        return DIGITS[buf], offsets
+        return buf, offsets
     s, e, o = words(buf, offsets, NOT_SPACE)
-    return Rolling(DIGITS[buf]).of(s, e), o
+    return word_hashes(buf, s, e), o
+
 
+def digests(sym: np.ndarray, starts: np.ndarray, ends: np.ndarray, kind: np.dtype) -> np.ndarray:
+    """BLAKE2 digests of runs of symbols."""
+    raw, w = memoryview(np.ascontiguousarray(sym)).cast("B"), sym.itemsize
+    size = kind.itemsize
+    return np.frombuffer(b"".join([hashlib.blake2b(raw[w * a : w * b], digest_size=size).digest() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]), kind)
 
-def seeds(rule: Rule, digits: np.ndarray, o: np.ndarray) -> tuple[Rolling, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The rolling hashes, and of each kept seed its hash, context hash, text, and first and last window + 1."""
-    n, reach = len(digits), rule.length - rule.seed + 1
-    roll = Rolling(digits)
-    h = roll.every(rule.seed)
-    at = winnow(h, within(o, n, rule.seed), reach)
+
+def seeds(rule: Rule, sym: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each kept seed its hash, the 96 bits of its context's hash, its text, and its place."""
+    h = wide_windows(sym, rule.seed)
+    at = winnow(h, within(o, len(sym), rule.seed), rule.reach + 1)
     doc = np.searchsorted(o, at, "right") - 1
-    lo, hi = np.maximum(at - reach + 1, o[doc]), np.minimum(at + rule.length, o[doc + 1])
-    return roll, h[at], roll.of(lo, hi), doc, lo, hi - rule.length + 1
+    lo, hi = np.maximum(at - rule.reach, o[doc]), np.minimum(at + rule.length, o[doc + 1])
+    if rule.bytewise:
+        d = digests(sym, lo, hi, np.dtype([("c", "<u8"), ("x", "<u4")]))
+        return h[at], d["c"], d["x"], doc, at - o[doc]
+    c, x = spans(sym, lo, hi - lo), spans(mixed(sym ^ np.uint64(0x632BE59BD9B4E019)), lo, hi - lo)
+    return h[at], c, (x >> np.uint64(32)).astype(np.uint32), doc, at - o[doc]
 
 
 def packed(kind: int, part: np.ndarray, doc: np.ndarray, v: np.ndarray, ids: np.ndarray, th: np.ndarray, shard: np.ndarray) -> list[tuple]:
@@ -110,6 +143,19 @@ def groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return g, int(new.sum()) + 1 if len(order) else 0
 
 
+def first_of(g: np.ndarray) -> np.ndarray:
+    """Flags one entry of each group."""
+    first = np.zeros(len(g), bool)
+    first[np.unique(g, return_index=True)[1]] = True
+    return first
+
+
+def contexts(h: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Group number of each seed, and the number of contexts g that a seed of such a group stands in."""
+    gh, n = groups(h)
+    return gh, np.bincount(gh[first_of(g)], minlength=n)
+
+
 def judged(rule: Rule, g: np.ndarray, count: int, ids: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of entries in groups g with ids and counts m: which are repeats, and one delegate for each group."""
     if rule.smaller:
@@ -117,9 +163,7 @@ def judged(rule: Rule, g: np.ndarray, count: int, ids: np.ndarray, m: np.ndarray
         np.minimum.at(least, g, ids)
         return ids > least[g], ids == least[g]
     total = np.bincount(g, m, count)
-    first = np.zeros(len(g), bool)
-    first[np.unique(g, return_index=True)[1]] = True
-    return total[g] > 1, first
+    return total[g] > 1, first_of(g)
 
 
 def doc_keys(ids: np.ndarray, th: np.ndarray) -> np.ndarray:
@@ -131,35 +175,43 @@ def _columns(t: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 def seed_entries(rule: Rule, parts: int) -> Callable:
-    """Texts to seed entries (kind 0, by bucket) and verdicts that a batch gives by itself (kind 1, by shard)."""
-
-    def flush(ids: np.ndarray, th: np.ndarray, shard: np.ndarray, h: list, c: list, doc: list) -> pa.RecordBatch:
-        h, c, doc = np.concatenate(h), np.concatenate(c), np.concatenate(doc)
-        g, count = groups(h, c)
-        one = np.unique(np.stack([g, doc]), axis=1, return_index=True)[1] if rule.smaller else np.arange(len(g))
-        repeat, delegate = judged(rule, g[one], count, ids[doc[one]], np.ones(len(one), np.int64))
+    """Texts to seed entries, by bucket, and the verdicts that texts sent together give by themselves, by shard."""
+
+    def flush(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        ids, th, shard, h, c, x, at, size = (np.concatenate(k) for k in zip(*held, strict=True))
+        doc = np.repeat(np.arange(len(size)), size)
+        g, count = groups(h, c, x)
+        repeat, delegate = judged(rule, g, count, ids[doc], np.ones(len(g), np.int64))
+        gh, n = contexts(h, g)
+        common = n[gh] > MANY
         told = np.zeros(int(repeat.sum()), VERDICT)
-        told["c"], told["f"] = c[one][repeat], SETTLED
-        rows = packed(1, shard[doc[one][repeat]], doc[one][repeat], told, ids, th, shard)
-        sent = one[delegate]
+        told["at"], told["f"] = at[repeat], SETTLED
+        rows = packed(TOLD, shard[doc[repeat]], doc[repeat], told, ids, th, shard)
+        mark = first_of(gh) & common
+        sent = np.concatenate([np.flatnonzero(delegate), np.flatnonzero(mark)])
         v = np.zeros(len(sent), SEED)
-        v["h"], v["c"], v["m"] = h[sent], c[sent], np.where(repeat[delegate], 2, 1)
-        return blobs(rows + packed(0, (h[sent] % np.uint64(parts)).astype(np.int64), doc[sent], v, ids, th, shard)).combine_chunks().to_batches()
+        for k, col in (("h", h), ("c", c), ("x", x), ("at", at)):
+            v[k] = col[sent]
+        v["m"] = np.where(repeat[sent], SEVERAL, 0) | np.where(common[sent], SPREAD, 0)
+        v["m"][int(delegate.sum()) :] = MARK
+        own = (v["m"] & SPREAD) > 0
+        to = np.where(own, joined(v["h"], v["c"]), v["h"]) % np.uint64(parts)
+        yield from blobs(rows + packed(ENTRIES, to.astype(np.int64), doc[sent], v, ids, th, shard)).combine_chunks().to_batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for batch in batches:
             ids, th, shard = _columns(batch)
-            h, c, doc, n = [], [], [], 0
-            for a, _, buf, offsets in slices(batch.column("text")):
-                digits, o = symbols(rule, buf, offsets)
-                _, hh, cc, dd, _, _ = seeds(rule, digits, o)
-                h.append(hh), c.append(cc), doc.append(dd + a)
-                n += len(hh)
+            for a, b, buf, offsets in slices(batch.column("text")):
+                h, c, x, doc, at = seeds(rule, *symbols(rule, buf, offsets))
+                some, size = np.unique(doc, return_counts=True)
+                held.append((ids[a:b][some], th[a:b][some], shard[a:b][some], h, c, x, at, size))
+                n += len(h)
                 if n >= FLUSH:
-                    yield from flush(ids, th, shard, h, c, doc)
-                    h, c, doc, n = [], [], [], 0
-            if n:
-                yield from flush(ids, th, shard, h, c, doc)
+                    yield from flush(held)
+                    held, n = [], 0
+        if n:
+            yield from flush(held)
 
     return run
 
@@ -168,19 +220,22 @@ def joined_seeds(rule: Rule) -> Callable:
     """A bucket of seed entries to verdicts by shard; verdicts pass."""
 
     def run(t: pa.Table) -> pa.Table:
-        if not t.num_rows or t.column("kind")[0].as_py() == 1:
+        if not t.num_rows or t.column("kind")[0].as_py() == TOLD:
             return t
         ids, th, shard, doc, v = unpacked(t, SEED)
-        g, count = groups(v["h"], v["c"])
-        repeat, delegate = judged(rule, g, count, ids[doc], v["m"])
-        gh, nh = groups(v["h"])
-        pairs = np.unique(np.stack([gh, g]), axis=1)[0]
-        several = np.bincount(pairs, minlength=nh) > 1  # contexts of a seed
-        f = np.where(repeat, SETTLED, 0) | np.where(delegate & several[gh], EXTEND, 0) | np.where(repeat & delegate, DELEGATE, 0)
-        keep = f > 0
+        marks = (v["m"] & MARK) > 0
+        marked = np.unique(v["h"][marks])
+        doc, v = doc[~marks], v[~marks]
+        g, count = groups(v["h"], v["c"], v["x"], v["m"] & SPREAD)  # one spread by its context meets others so spread
+        repeat, delegate = judged(rule, g, count, ids[doc], 1 + (v["m"] & SEVERAL))
+        gh, n = contexts(v["h"], g)
+        common = (n[gh] > VERY_MANY) | np.isin(v["h"], marked) | ((v["m"] & SPREAD) > 0)
+        f = np.where(repeat, SETTLED, 0) | np.where(delegate & ((n[gh] > 1) | common), EXTEND, 0)
+        f |= np.where(common, COMMON, 0)
+        keep = (f & (SETTLED | EXTEND)) > 0
         told = np.zeros(int(keep.sum()), VERDICT)
-        told["c"], told["f"] = v["c"][keep], f[keep]
-        return blobs(packed(1, shard[doc[keep]], doc[keep], told, ids, th, shard))
+        told["at"], told["f"] = v["at"][keep], f[keep]
+        return blobs(packed(TOLD, shard[doc[keep]], doc[keep], told, ids, th, shard))
 
     return run
 
@@ -203,68 +258,98 @@ def runs_of(flags: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return np.searchsorted(o, s, "right") - 1, s, e
 
 
+def by_text(ids: np.ndarray, th: np.ndarray, table: pa.Table, dtype: np.dtype) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The entries of a shard in order of their text's key, and the first and last + 1 of each text."""
+    rid, rth, _, rdoc, v = unpacked(table, dtype)
+    key, rkey = doc_keys(ids, th), doc_keys(rid, rth)[rdoc]
+    order = np.argsort(rkey, kind="stable")
+    rkey = rkey[order]
+    return v[order], np.searchsorted(rkey, key, "left"), np.searchsorted(rkey, key, "right")
+
+
+def stretches(rule: Rule, sym: np.ndarray, at: np.ndarray, lo: np.ndarray, hi: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """What is sent of seeds at `at` in contexts [lo, hi); place: theirs in their texts."""
+    v = np.zeros(len(at), rule.stretch)
+    d = digests(sym, at, at + rule.seed, np.dtype([("h", "<u8"), ("x", "<u8")]))
+    v["h"], v["x"], v["at"], v["nl"], v["nr"] = d["h"], d["x"], place, at - lo, hi - at - rule.seed
+    j = np.arange(rule.reach)
+    last = max(0, len(sym) - 1)
+    v["l"] = sym[np.clip(at[:, None] - 1 - j, 0, last)] * (j < v["nl"][:, None])
+    v["r"] = sym[np.clip(at[:, None] + rule.seed + j, 0, last)] * (j < v["nr"][:, None])
+    return v
+
+
 def extended(rule: Rule, parts: int) -> Callable:
-    """A shard's texts and verdicts to settled runs (kind 1) and window entries (kind 0)."""
+    """A shard's texts and verdicts to settled runs, contexts to be extended, and windows of common seeds."""
 
     def run(texts: pa.Table, verdicts: pa.Table) -> pa.Table:
         if not texts.num_rows or not verdicts.num_rows:
             return blobs([])
         ids, th, shard = _columns(texts)
-        rid, rth, _, rdoc, v = unpacked(verdicts, VERDICT)
-        key = doc_keys(ids, th)
-        told = mixed(doc_keys(rid, rth)[rdoc] ^ v["c"])
-        want = {f: np.unique(told[(v["f"] & f) > 0]) for f in (SETTLED, EXTEND, DELEGATE)}
+        v, first, last = by_text(ids, th, verdicts, VERDICT)
         out: list[tuple] = []
         held: list[tuple] = []
-        for a, _, buf, offsets in slices(texts.column("text")):
-            digits, o = symbols(rule, buf, offsets)
-            n = len(digits)
-            if n < rule.length:
+        for a, b, buf, offsets in slices(texts.column("text")):
+            count = last[a:b] - first[a:b]
+            if not count.any():
                 continue
-            roll, _, c, doc, lo, hi = seeds(rule, digits, o)
-            mine = mixed(key[doc + a] ^ c)
-            settled, extend, delegate = (np.isin(mine, want[f]) for f in (SETTLED, EXTEND, DELEGATE))
-            through = lambda which: spread(lo[which], hi[which], n)
-            done = through(settled)
-            # A settled window needs no extension, but in the delegate of any settled context, which others may only match in part.
-            open_ = through(extend) & (~done | through(delegate))
-            d, s, e = runs_of(covered(np.flatnonzero(done), rule.length, n), o)
+            sym, o = symbols(rule, buf, offsets)
+            doc, told = np.repeat(np.arange(b - a), count), v[ragged(first[a:b], count)]
+            at = told["at"].astype(np.int64) + o[doc]
+            lo, hi = np.maximum(at - rule.reach, o[doc]), np.minimum(at + rule.length, o[doc + 1])
+            settled = (told["f"] & SETTLED) > 0
+            d, s, e = runs_of(spread(lo[settled], hi[settled], len(sym)), o)
             r = np.zeros(len(s), RUN)
             r["a"], r["b"] = s - o[d], e - o[d]
-            out += packed(1, shard[d + a], d + a, r, ids, th, shard)
-            at = np.flatnonzero(open_)
-            if len(at):
-                x = Rolling(mixed(digits + np.uint64(0x51ED270B)))
-                d = np.searchsorted(o, at, "right") - 1
-                held.append((roll.of(at, at + rule.length), (x.of(at, at + rule.length) >> np.uint64(32)).astype(np.uint32), at - o[d], d + a))
+            out += packed(TOLD, shard[d + a], d + a, r, ids, th, shard)
+            whole = ((told["f"] & EXTEND) > 0) & ((told["f"] & COMMON) == 0)
+            w = stretches(rule, sym, at[whole], lo[whole], hi[whole], told["at"][whole])
+            out += packed(ENTRIES, (w["h"] % np.uint64(parts)).astype(np.int64), doc[whole] + a, w, ids, th, shard)
+            single = (told["f"] & (EXTEND | COMMON)) == EXTEND | COMMON
+            if single.any():
+                open_ = np.flatnonzero(spread(lo[single], hi[single] - rule.length + 1, len(sym)))
+                d = np.searchsorted(o, open_, "right") - 1
+                of, mine = np.unique(d, return_inverse=True)  # only these texts
+                size = o[of + 1] - o[of]
+                part = sym[ragged(o[of], size)]
+                where = open_ - o[d] + (np.cumsum(size) - size)[mine]
+                other = mixed(part.astype(np.uint64) + np.uint64(0x632BE59BD9B4E019))
+                held.append((wide_windows(part, rule.length)[where], (wide_windows(other, rule.length)[where] >> np.uint64(32)).astype(np.uint32), open_ - o[d], d + a))
         if held:
             h, x, at, doc = (np.concatenate(k) for k in zip(*held, strict=True))
             g, count = groups(h, x)
             repeat, delegate = judged(rule, g, count, ids[doc], np.ones(len(g), np.int64))
             r = np.zeros(int(repeat.sum()), RUN)
             r["a"], r["b"] = at[repeat], at[repeat] + rule.length
-            out += packed(1, shard[doc[repeat]], doc[repeat], r, ids, th, shard)
+            out += packed(TOLD, shard[doc[repeat]], doc[repeat], r, ids, th, shard)
             w = np.zeros(int(delegate.sum()), WINDOW)
             w["h"], w["x"], w["at"], w["m"] = h[delegate], x[delegate], at[delegate], np.where(repeat[delegate], 2, 1)
-            out += packed(0, (h[delegate] % np.uint64(parts)).astype(np.int64), doc[delegate], w, ids, th, shard)
+            out += packed(WINDOWS, (h[delegate] % np.uint64(parts)).astype(np.int64), doc[delegate], w, ids, th, shard)
         return blobs(out)
 
     return run
 
 
-def joined_windows(rule: Rule) -> Callable:
-    """A bucket of window entries to runs by shard; runs pass."""
+def joined_contexts(rule: Rule) -> Callable:
+    """A bucket of contexts, or of windows, to runs by shard; runs pass."""
 
     def run(t: pa.Table) -> pa.Table:
-        if not t.num_rows or t.column("kind")[0].as_py() == 1:
+        kind = t.column("kind")[0].as_py() if t.num_rows else TOLD
+        if kind == TOLD:
             return t
-        ids, th, shard, doc, w = unpacked(t, WINDOW)
-        g, count = groups(w["h"], w["x"])
-        repeat, _ = judged(rule, g, count, ids[doc], w["m"])
-        r = np.zeros(int(repeat.sum()), RUN)
-        r["a"] = w["at"][repeat]
-        r["b"] = r["a"] + rule.length
-        return blobs(packed(1, shard[doc[repeat]], doc[repeat], r, ids, th, shard))
+        if kind == WINDOWS:
+            ids, th, shard, doc, w = unpacked(t, WINDOW)
+            g, count = groups(w["h"], w["x"])
+            repeat, _ = judged(rule, g, count, ids[doc], w["m"])
+            r = np.zeros(int(repeat.sum()), RUN)
+            r["a"] = w["at"][repeat]
+            r["b"] = r["a"] + rule.length
+            return blobs(packed(TOLD, shard[doc[repeat]], doc[repeat], r, ids, th, shard))
+        ids, th, shard, doc, w = unpacked(t, rule.stretch)
+        rows, first, last = repeated_windows(groups(w["h"], w["x"])[0], w["l"], w["nl"], w["r"], w["nr"], ids[doc] if rule.smaller else None)
+        r = np.zeros(len(rows), RUN)
+        r["a"], r["b"] = w["at"][rows] - last, w["at"][rows] - first + rule.length
+        return blobs(packed(TOLD, shard[doc[rows]], doc[rows], r, ids, th, shard))
 
     return run
 
@@ -274,11 +359,8 @@ def kept(rule: Rule) -> Callable:
 
     def run(texts: pa.Table, runs: pa.Table) -> pa.Table:
         ids, th, _ = _columns(texts)
-        rid, rth, _, rdoc, r = unpacked(runs, RUN)
-        key, rkey = doc_keys(ids, th), doc_keys(rid, rth)[rdoc]
-        order = np.argsort(rkey, kind="stable")
-        rkey, ra, rb = rkey[order], r["a"][order].astype(np.int64), r["b"][order].astype(np.int64)
-        first, last = np.searchsorted(rkey, key, "left"), np.searchsorted(rkey, key, "right")
+        r, first, last = by_text(ids, th, runs, RUN)
+        ra, rb = r["a"].astype(np.int64), r["b"].astype(np.int64)
         size, spans, rest = [], [], []
         for a, b, buf, offsets in slices(texts.column("text")):
             raw = buf.tobytes()
@@ -323,5 +405,5 @@ def without_repeats(docs: DataFrame, rule: Rule, id_col: str, text_col: str) ->
     docs = docs.withColumn("shard", F.pmod(F.xxhash64("id", "th"), F.lit(parts)).cast("int"))  # both groupings below are of this frame, so that its exchange is used twice
     told = docs.mapInArrow(seed_entries(rule, parts), BLOB).groupBy("kind", "part").applyInArrow(joined_seeds(rule), BLOB)
     runs = docs.groupBy("shard").cogroup(told.groupBy("part")).applyInArrow(extended(rule, parts), BLOB)
-    runs = runs.groupBy("kind", "part").applyInArrow(joined_windows(rule), BLOB)
+    runs = runs.groupBy("kind", "part").applyInArrow(joined_contexts(rule), BLOB)
     return docs.groupBy("shard").cogroup(runs.groupBy("part")).applyInArrow(kept(rule), "doc_id long, n long, spans array<struct<start: long, end: long>>, kept binary")
