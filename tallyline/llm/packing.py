@@ -18,15 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyline.llm._bytes import DIGITS, Rolling, ragged, slices
+from tallyline.llm._bytes import blocks, joined, ragged, slices
 from tallyline.llm._frames import running_total, short_batches, table, written
 
 CAPACITY = 1024
 END = 2
-#: Pieces of one length that one task sorts, about.
-CELL_ROWS = 2_000
-#: Slots of a worker's cache of encoded units, and the longest unit that it takes.
-SLOTS, UNIT = 1 << 20, 64
+#: Pieces of one length that one task sorts: fewer on small tables, so that these spread over all partitions as well.
+CELL_ROWS, LEAST_ROWS = 2_000, 64
+#: Slots of a worker's cache of encoded units, and the longest unit that it takes, in blocks of eight bytes.
+SLOTS, UNIT = 1 << 20, 3
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -35,18 +35,20 @@ class Encoder:
 
     The byte-level pre-tokenizer always splits before a single space between two visible characters, after a run of
     letters, and on both sides of a lone line feed between visible characters, so a text's ids are those of its units, split
-    there. A direct-mapped cache of fixed size keeps the ids of short units; units that it lacks are encoded together,
-    one call a slice.
+    there. A direct-mapped cache of fixed size keeps short units, whole, and their ids; units that it lacks are encoded
+    together, one call a slice. A text that holds an added token's string, which the tokenizer takes out before it splits, is
+    one unit. literal: such strings are ordinary text instead.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, literal: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tok.encode_special_tokens = literal
+        self.added = [] if literal else [t.content.encode() for t in self.tok.get_added_tokens_decoder().values()]
         vocab = self.tok.get_vocab(with_added_tokens=False)
-        self.spaced = np.zeros(max(vocab.values()) + 1, bool)
+        self.spaced = np.zeros(max(self.tok.get_vocab().values()) + 1, bool)
         for s, i in vocab.items():
             self.spaced[i] = s.startswith("Ġ")
         self.clear()
@@ -63,7 +65,8 @@ class Encoder:
         self.wide[0xC3:0xC9] = True
 
     def clear(self) -> None:
-        self.key = np.zeros(SLOTS, np.uint64)
+        self.key = np.zeros((UNIT, SLOTS), np.uint64)
+        self.size = np.full(SLOTS, -1, np.int32)
         self.off = np.zeros(SLOTS, np.int64)
         self.len = np.zeros(SLOTS, np.int32)
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
@@ -100,6 +103,13 @@ class Encoder:
         cut |= line & prev_ok[:-1]
         cut[1:] |= line[:-1] & prev_ok[:-2] & self.letter[buf[1:]]
         regular = cut & (buf == 0x20) & next_ok  # where a unit that may be joined to others begins
+        raw = buf.tobytes()
+        for added in self.added:
+            at = raw.find(added)
+            while at >= 0:
+                doc = int(np.searchsorted(offsets, at, "right")) - 1
+                cut[offsets[doc] : offsets[doc + 1]] = False
+                at = raw.find(added, int(offsets[doc + 1]))
         cut[offsets[:-1][offsets[:-1] < n]] = True
         regular[offsets[:-1][offsets[:-1] < n]] = False
         starts = np.flatnonzero(cut)
@@ -107,15 +117,26 @@ class Encoder:
         spaces = np.zeros(n + 1, np.int64)
         np.cumsum(buf == 0x20, out=spaces[1:])
         joins = regular[starts] & prev_ok[ends] & (spaces[ends] - spaces[starts] == 1)
-        h = Rolling(DIGITS[buf]).of(starts, ends) | np.uint64(1)
-        slot = (h & np.uint64(SLOTS - 1)).astype(np.int64) ^ (h >> np.uint64(40)).astype(np.int64) & (SLOTS - 1)
-        hit = self.key[slot] == h
+        size = ends - starts
+        eight = blocks(buf)
+        unit = np.zeros((UNIT, len(starts)), np.uint64)
+        slot = size.astype(np.uint64)
+        for j in range(UNIT):
+            some = np.flatnonzero(size > 8 * j)
+            short = np.uint64(8) * (np.uint64(8) - np.minimum(size[some] - 8 * j, 8).astype(np.uint64))
+            unit[j, some] = eight[starts[some] + 8 * j] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> short)
+            slot = joined(slot, unit[j])
+        slot = (slot & np.uint64(SLOTS - 1)).astype(np.int64)
+        hit = self.size[slot] == size
+        for j in range(UNIT):
+            hit &= self.key[j][slot] == unit[j]
+        hit &= size <= 8 * UNIT
         off, length = self.off[slot], self.len[slot].astype(np.int64)
         if not hit.all():
             lack = np.flatnonzero(~hit)
-            _, at, back = np.unique(h[lack], return_index=True, return_inverse=True)
-            one = lack[at]
-            raw = buf.tobytes()
+            seen: dict[bytes, int] = {}
+            back = np.array([seen.setdefault(raw[a:b], len(seen)) for a, b in zip(starts[lack].tolist(), ends[lack].tolist(), strict=True)])
+            one = lack[np.unique(back, return_index=True)[1]]
             o, ln = np.zeros(len(one), np.int64), np.zeros(len(one), np.int64)
             j = np.flatnonzero(joins[one])
             if len(j):
@@ -130,9 +151,9 @@ class Encoder:
                 for k, got in zip(r.tolist(), self._encode([raw[starts[i] : ends[i]] for i in one[r]]), strict=True):
                     o[k], ln[k] = self._add(got), len(got)
             off[lack], length[lack] = o[back], ln[back]
-            keep = ends[one] - starts[one] <= UNIT
+            keep = size[one] <= 8 * UNIT
             s = slot[one[keep]]
-            self.key[s], self.off[s], self.len[s] = h[one[keep]], o[keep], ln[keep]
+            self.key[:, s], self.size[s], self.off[s], self.len[s] = unit[:, one[keep]], size[one[keep]], o[keep], ln[keep]
         ids = self.ids[ragged(off, length)]
         total = np.zeros(len(starts) + 1, np.int64)
         np.cumsum(length, out=total[1:])
@@ -188,8 +209,9 @@ class _Sums:
         self.two = np.convolve(x, x)[: self.c] > 0
 
     def use(self, length: int, k: int) -> None:
+        had = self.n[length] > 0
         self.n[length] -= k
-        if not self.n[length]:
+        if had != (self.n[length] > 0):
             self.refresh()
 
     def _pair(self, g: int) -> tuple[int, ...] | None:
@@ -234,19 +256,14 @@ def pack(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[i
 
     for longest in range(capacity, 0, -1):
         while n[longest]:
-            group, first = int(n[longest]), sequences
-            gap = capacity - longest
+            first, gap = sequences, capacity - longest
+            s.use(longest, 1)  # the piece that is placed is no part of its own complement
+            combo = (s.exact(gap) or s_best(s, gap)) if gap else ()
+            s.use(longest, -1)
             need: dict[int, int] = {}
-            combo = s.exact(gap) if gap else ()
-            if combo is None:
-                combo = s_best(s, gap, longest)
             for x in (longest, *combo):
                 need[x] = need.get(x, 0) + 1
-            group = min(int(n[x]) // k for x, k in need.items()) if need else group
-            if group == 0:  # too few of `longest` to be its own complement: the best fit without that
-                combo = tuple(x for x in combo if x != longest)
-                need = {longest: 1} | {x: combo.count(x) for x in combo}
-                group = min(int(n[x]) // k for x, k in need.items())
+            group = min(int(n[x]) // k for x, k in need.items())
             offset = 0
             for x, k in sorted(need.items(), reverse=True):
                 take(x, group, first, k, offset)
@@ -255,10 +272,9 @@ def pack(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[i
     return runs, sequences
 
 
-def s_best(s: _Sums, gap: int, longest: int) -> tuple[int, ...]:
+def s_best(s: _Sums, gap: int) -> tuple[int, ...]:
     """What fills a gap best when no single, pair or triple fills it: the longest fit, then again exact or best."""
     left, out = s.n.copy(), []
-    left[longest] -= 1
     while gap:
         fits = np.flatnonzero(left[: gap + 1])
         if not len(fits):
@@ -286,7 +302,9 @@ def best_fit_pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     runs, _ = pack(counts, capacity)
     runs.sort()
-    cells = max([1, *(-(-k // CELL_ROWS) for k in counts.values())])
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cell = min(CELL_ROWS, max(LEAST_ROWS, sum(counts.values()) // (8 * partitions)))
+    cells = max([1, *(-(-k // cell) for k in counts.values())])
     ranked = running_total(pieces, ["length"], ["doc_id", "piece", "ids_crc32"], F.lit(1), F.lit(cells), "rank")
     run = np.array(runs, np.int64).reshape(-1, 6)
     wide = int(run[:, 2].max(initial=0)) + 1
