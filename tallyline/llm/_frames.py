@@ -16,12 +16,14 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that all executors share: spark.checkpoint.dir, or, in local mode, one of our own where it is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         root = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = root.get() if root.isDefined() else None
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: executors need a folder that all of them share")
         root = f"file://{tempfile.mkdtemp(prefix='tallyline-')}"
         spark.sparkContext.setCheckpointDir(root)
     return root
@@ -58,6 +60,20 @@ def short_batches(spark: SparkSession) -> None:
         spark.conf.set(key, "1000")
 
 
+def row_key(id_col: str, text_col: str) -> Column:
+    """A hash that tells rows apart by id and text."""
+    i, t = F.col(id_col), F.col(text_col)
+    return F.xxhash64(i, i.isNull(), F.xxhash64(t), t.isNull())
+
+
+def salted_join(many: DataFrame, one: DataFrame, key: str, spread: Column, salts: int = 8) -> DataFrame:
+    """Inner join on key, which a large share of `many` may hold: its rows are dealt by `spread` as well, and the rows of
+    `one`, at most one per key, are sent to each of the salts."""
+    many = many.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+    one = one.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
+    return many.join(one, [key, "_salt"]).drop("_salt")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -72,14 +88,13 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
-def running_total(df: DataFrame, key: list[str], order: list, value: Column, buckets: Column, into: str) -> DataFrame:
+def running_total(df: DataFrame, key: list[str], order: list, value: Column, bucket: Column, into: str) -> DataFrame:
     """Adds `into`: the sum of value over the rows of the same key that stand before a row.
 
-    Rows are ordered by a hash bucket, then by `order`. Only (key, bucket) cells are ever sorted in one task, and
-    only cell sums meet per key, so a key that holds a third of all rows spreads over as many tasks as it has
-    buckets. `buckets` is the number of buckets of a row's key.
+    Rows are ordered by `bucket`, then by `order`. Only (key, bucket) cells are ever sorted in one task, and
+    only cell sums meet per key, so a key that holds a third of all rows spreads over as many tasks as it has buckets.
     """
-    cell = df.withColumn("_v", value).withColumn("_b", F.pmod(F.xxhash64(*order), buckets))
+    cell = df.withColumn("_v", value).withColumn("_b", bucket)
     sums = cell.groupBy(*key, "_b").agg(F.sum("_v").alias("_s"))
     before = Window.partitionBy(*key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)], F.col("_b").alias("_kb"), F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_o"))

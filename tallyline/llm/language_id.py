@@ -2,7 +2,7 @@
 
 Training counts hashed letter n-grams of each language over all its documents. A document is a bag of words, each
 written in one of the languages; expectation-maximisation estimates the proportions, and of the best one, two, ...
-languages the set with the highest likelihood after a penalty per language is kept.
+languages, up to all, the set with the highest likelihood after a penalty per language is kept.
 """
 
 from __future__ import annotations
@@ -11,8 +11,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyline.llm._bytes import LOWER, byte_class, ragged, slices, words
 from tallyline.llm._frames import short_batches, table
@@ -20,9 +22,9 @@ from tallyline.llm._frames import short_batches, table
 #: Slots of a language's table of n-gram counts: 128 KB a language.
 BITS = 15
 SLOTS = 1 << BITS
-#: Languages in a document's set at most, rounds of estimation, and the penalty for a language, in units of half the
-#: logarithm of the number of words, as in the Bayesian information criterion.
-MOST, ROUNDS, PENALTY = 3, 6, 2.0
+#: Estimation ends when no proportion moves by this, or after so many rounds; the penalty for a language, in units of half
+#: the logarithm of the number of words, as in the Bayesian information criterion.
+TOLERANCE, ROUNDS, PENALTY = 1e-3, 50, 2.0
 #: Likelihoods are scaled down by this, as neighbouring n-grams overlap.
 DAMP = 0.5
 UNKNOWN = "und"
@@ -79,57 +81,74 @@ def language_model(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     return [r["lang"] for r in packed], (logs * DAMP).astype(np.float32)
 
 
-def _estimated(like: np.ndarray, o: np.ndarray, allowed: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """Proportions (languages, texts) and log likelihoods of texts with words; like: of words, relative to the best."""
-    count = np.diff(o)
+def _estimated(like: np.ndarray, o: np.ndarray, allowed: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Proportions (languages, texts), log likelihoods, and how far these are below the best at most, of texts with words.
+
+    like: of words, relative to the best. As the likelihood is concave in the proportions, its slope towards a language
+    bounds what is left to gain.
+    """
     part = (allowed / allowed.sum(axis=0)).astype(np.float32)
-    for last in range(rounds + 1):
-        joint = np.repeat(part, count, axis=1)
-        joint *= like
-        total = np.maximum(joint.sum(axis=0), np.float32(1e-37))
-        if last == rounds:
-            return part, np.add.reduceat(np.log(total), o[:-1], dtype=np.float64)
-        joint /= total
-        part = (np.add.reduceat(joint, o[:-1], axis=1, dtype=np.float64) / count).astype(np.float32)
+    live, words_, at = np.arange(len(o) - 1), like, o
+    for _ in range(rounds):
+        count = np.diff(at)
+        joint = np.repeat(part[:, live], count, axis=1)
+        joint *= words_
+        joint /= np.maximum(joint.sum(axis=0), np.float32(1e-37))
+        new = (np.add.reduceat(joint, at[:-1], axis=1, dtype=np.float64) / count).astype(np.float32)
+        moves = np.abs(new - part[:, live]).max(axis=0) >= TOLERANCE
+        part[:, live] = new
+        if not moves.any():
+            break
+        if moves.mean() < 0.8:
+            words_ = words_[:, ragged(at[:-1][moves], count[moves])]
+            live, at = live[moves], np.concatenate([[0], np.cumsum(count[moves])])
+    count = np.diff(o)
+    total = np.repeat(part, count, axis=1)
+    total *= like
+    total = np.maximum(total.sum(axis=0), np.float32(1e-37))
+    slope = np.where(allowed > 0, np.add.reduceat(like / total, o[:-1], axis=1, dtype=np.float64), 0).max(axis=0)
+    return part, np.add.reduceat(np.log(total), o[:-1], dtype=np.float64), np.maximum(slope - count, 0)
 
 
-def mixtures(like: np.ndarray, o: np.ndarray, most: int = MOST, rounds: int = ROUNDS, penalty: float = PENALTY) -> np.ndarray:
+def mixtures(like: np.ndarray, o: np.ndarray, rounds: int = ROUNDS, penalty: float = PENALTY) -> np.ndarray:
     """Proportions (languages, texts) of the set that penalised likelihood chooses, for texts that all have words.
 
-    No set does better than all languages together, so a text that one language explains within the price of another
-    is settled without trying more.
+    Sets grow by the language with the next largest proportion among all. No set does better than all languages
+    together, so a text for which that can't pay the price of more languages is settled without trying them.
     """
     k, texts = like.shape[0], len(o) - 1
     price = penalty * 0.5 * np.log(np.maximum(np.diff(o), 2))
-    part, bound = _estimated(like, o, np.ones((k, texts), np.float32), rounds)
+    part, bound, short = _estimated(like, o, np.ones((k, texts), np.float32), rounds)
+    bound = bound + short
     rank = np.argsort(np.argsort(-part, axis=0, kind="stable"), axis=0)
-    best, ll = _estimated(like, o, (rank < 1).astype(np.float32), 0)
+    best, ll, _ = _estimated(like, o, (rank < 1).astype(np.float32), 0)
     score = ll - price
-    for m in range(2, min(most, k) + 1):
+    for m in range(2, k + 1):
         open_ = np.flatnonzero(score < bound - m * price)
         if not len(open_):
             break
         count = (o[1:] - o[:-1])[open_]
-        p, ll = _estimated(like[:, ragged(o[open_], count)], np.concatenate([[0], np.cumsum(count)]), (rank[:, open_] < m).astype(np.float32), rounds)
+        p, ll, _ = _estimated(like[:, ragged(o[open_], count)], np.concatenate([[0], np.cumsum(count)]), (rank[:, open_] < m).astype(np.float32), rounds)
         take = ll - m * price[open_] > score[open_]
         best[:, open_[take]] = p[:, take]
         score[open_[take]] = (ll - m * price[open_])[take]
     return best
 
 
-def predictor(model: object, most: int, rounds: int, penalty: float) -> Callable:
+def predictor(model: object, rounds: int, penalty: float, text_at: int | None) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, logs = model.value
         for batch in batches:
             letters = np.asarray(batch.column("letters"))
-            for a, z, buf, offsets in slices(batch.column("text")):
+            text = batch.column("text") if text_at is None else pc.struct_field(batch.column("row"), [text_at])
+            for a, z, buf, offsets in slices(text):
                 slots, begin, o = ngrams(buf, offsets)
                 if langs and len(begin) > 1:
                     ll = np.stack([np.add.reduceat(x[slots], begin[:-1]) for x in logs])
                     ll -= ll.max(axis=0)
                     full = np.diff(o) > 0
                     part = np.zeros((z - a, len(langs)))
-                    part[full] = mixtures(np.exp(np.maximum(ll, -80)), np.append(o[:-1][full], o[-1]), most, rounds, penalty).T
+                    part[full] = mixtures(np.exp(np.maximum(ll, -80)), np.append(o[:-1][full], o[-1]), rounds, penalty).T
                 else:
                     part = np.zeros((z - a, max(1, len(langs))))
                 known = letters[a:z] & (np.diff(o) > 0) & bool(langs)
@@ -138,24 +157,33 @@ def predictor(model: object, most: int, rounds: int, penalty: float) -> Callable
                 score = np.where(known, np.clip(part[np.arange(z - a), first], 0, 1), 0.0)
                 shares = [[(langs[j], float(p)) for j, p in enumerate(row) if p > 0] if k else [] for row, k in zip(part, known.tolist(), strict=True)]
                 cols = [batch.column("doc_id").slice(a, z - a), batch.column("held_out").slice(a, z - a), pa.array(pred, pa.string()), pa.array(score), pa.array(shares, pa.map_(pa.string(), pa.float64()))]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "held_out", "lang_pred", "score", "proportions"])
+                names = ["doc_id", "held_out", "lang_pred", "score", "proportions"]
+                if text_at is not None:
+                    cols, names = [*cols, batch.column("row").slice(a, z - a)], [*names, "row"]
+                yield pa.RecordBatch.from_arrays(cols, names)
 
     return run
 
 
-def language_id(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = MOST, rounds: int = ROUNDS, penalty: float = PENALTY) -> DataFrame:
+def language_id(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rounds: int = ROUNDS, penalty: float = PENALTY, carry: bool = False) -> DataFrame:
     """A row per row of docs: doc_id, held_out, lang_pred, score (its proportion), proportions (of the chosen set).
 
-    Learns from all rows that have text and language and are not held out. A null text, or one without any letter, or
-    any text if nothing could be learned, is `und` with score 0. Ties go to the language first by code point.
-    Repeated rows are predicted alike; an empty table gives an empty result; other columns are ignored.
+    Learns from all rows that have text and language and are not held out; the table has 128 KB a language. A null text,
+    or one without any letter, or any text if nothing could be learned, is `und` with score 0. Ties go to the language
+    first by code point. Repeated rows are predicted alike; an empty table gives an empty result; other columns are
+    ignored. carry: with a struct `row` of all columns of docs, whatever their names.
     """
     short_batches(docs.sparkSession)
     spark = docs.sparkSession
     text = F.col(text_col)
-    docs = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.col(lang_col).alias("lang"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("letters"))
-    model = spark.sparkContext.broadcast(language_model(docs.filter("not held_out and text is not null and lang is not null").select("lang", "text")))
-    return docs.select("doc_id", "held_out", "letters", "text").mapInArrow(predictor(model, most, rounds, penalty), "doc_id long, held_out boolean, lang_pred string, score double, proportions map<string, double>")
+    held, letters = F.coalesce(held_out, F.lit(False)), F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
+    learned = docs.filter(~held & text.isNotNull() & F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), text.alias("text"))
+    model = spark.sparkContext.broadcast(language_model(learned))
+    whole = F.struct(*[docs[c] for c in docs.columns]).alias("row") if carry else text.alias("text")
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), held.alias("held_out"), letters.alias("letters"), whole)
+    out = T._parse_datatype_string("doc_id long, held_out boolean, lang_pred string, score double, proportions map<string, double>")
+    at = docs.schema["row"].dataType.names.index(text_col) if carry else None
+    return docs.mapInArrow(predictor(model, rounds, penalty, at), T.StructType([*out, *([docs.schema["row"]] if carry else [])]))
 
 
 def held_out_fifth(id_col: str = "doc_id") -> Column:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyline.llm._bytes import NOT_SPACE, mixed, slices, spans, windows, within, word_hashes, words
-from tallyline.llm._frames import short_batches, table, written
+from tallyline.llm._frames import row_key, salted_join, short_batches, table, written
 
 N, SIMILARITY, RECALL = 5, 0.8, 0.9999
 #: MinHashes at most; with this, rows and bands follow from similarity and recall.
@@ -104,7 +104,7 @@ def components(edges: DataFrame) -> DataFrame:
             break
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+        large = salted_join(both.filter("v > u"), least, "u", F.col("v")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
         edges = written(small.select("e.u", "e.v").filter("u <> v").distinct())
@@ -177,11 +177,12 @@ def sets_of(n: int) -> Callable:
 
 
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
-    """A row per row of docs: doc_id, class_id, n_ngrams, n_links, group_id.
+    """A row per row of docs: doc_id, class_id, n_ngrams, n_links, group_id, representative, row_key.
 
     N-grams are of words [^\\x20\\x09-\\x0D]+, unchanged; a text of fewer words has one. class_id is the least id among
     documents with the same set; n_links counts the other documents whose sets have a Jaccard similarity of at least
-    `similarity`, copies included; group_id is the least id among documents tied by links. Null and empty texts have
+    `similarity`, copies included; group_id is the least id among documents tied by links, and representative
+    marks that document (of several with that id and other texts one); row_key is row_key() of a row. Null and empty texts have
     no n-grams and stand alone. A null id counts as larger than any other, and shows as null. Rows with the same id
     and different texts are different documents; repeated rows are copies. An empty table gives an empty result;
     other columns are ignored.
@@ -189,18 +190,18 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     short_batches(docs.sparkSession)
     b, r = bands(similarity, recall)
     top = (1 << 63) - 1
-    docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(top)).alias("doc_id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
+    docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(top)).alias("doc_id"), row_key(id_col, text_col).alias("th"), F.col(text_col).alias("text"))
     sig = written(docs.mapInArrow(signatures(n, b, r), "doc_id long, th long, c1 long, c2 long, n long, bands array<long>"))
     rep = F.min(F.struct("doc_id", "th")).alias("rep")
     classes = written(sig.filter("n > 0").groupBy("c1", "c2", "n").agg(rep, F.count("*").alias("members"), F.any_value("bands").alias("bands")))
     tied = classes.select(F.col("c1").alias("node"), F.explode("bands").alias("band"))
     stars = written(tied.groupBy("band").agg(F.min("node").alias("v"), F.count("*").alias("k")).filter("k > 1").select("band", "v"))
-    families = components(tied.join(stars, "band").select(F.col("node").alias("u"), "v"))
+    families = components(salted_join(tied, stars, "band", F.col("node")).select(F.col("node").alias("u"), "v"))
     families = written(families.withColumnRenamed("root", "family"))
     sizes = families.groupBy("family").agg(F.count("*").alias("m")).select("family", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
     total = families.count()
     members = classes.select(F.col("c1").alias("node"), "members", F.col("rep.doc_id").alias("doc_id"), F.col("rep.th").alias("th"))
-    members = written(members.join(families, "node").join(sizes, "family"))
+    members = written(salted_join(members.join(families, "node"), sizes, "family", F.col("node")))
     # A merge join at every size: whether members would fit a broadcast depends on the input.
     sets = docs.join(members.hint("merge"), ["doc_id", "th"]).select("node", "members", "family", "blocks", "text").mapInArrow(sets_of(n), "node long, members long, family long, blocks int, set binary")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
@@ -213,15 +214,15 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stars = found.filter("kind = 1")
     groups = stars.select(F.col("b").alias("node"), F.col("a").alias("root")).union(stars.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
     groups = groups.union(components(found.filter("kind = 2").select(F.col("a").alias("u"), F.col("b").alias("v"))))
-    known = classes.select("c1", "c2", "n", F.col("rep.doc_id").alias("class_id"), "members")
+    known = classes.select("c1", "c2", "n", "rep", "members")
     tied = known.join(groups, known["c1"] == groups["node"]).drop("node")
-    tied = tied.join(tied.groupBy("root").agg(F.min("class_id").alias("least")), "root").select(F.col("c1").alias("t1"), F.col("c2").alias("t2"), "least")
+    tied = salted_join(tied, tied.groupBy("root").agg(F.min("rep").alias("least")), "root", F.col("c1")).select(F.col("c1").alias("t1"), F.col("c2").alias("t2"), "least")
     known = known.join(links, known["c1"] == links["node"], "left").join(tied, (F.col("c1") == F.col("t1")) & (F.col("c2") == F.col("t2")), "left")
-    known = written(known.select(F.col("c1").alias("k1"), F.col("c2").alias("k2"), F.col("n").alias("k"), "class_id", (F.col("members") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("least", "class_id").alias("group_id")))
-    out = sig.select("doc_id", "c1", "c2", "n").join(known, (F.col("c1") == F.col("k1")) & (F.col("c2") == F.col("k2")) & (F.col("n") == F.col("k")), "left")
+    known = written(known.select(F.col("c1").alias("k1"), F.col("c2").alias("k2"), F.col("n").alias("k"), F.col("rep.doc_id").alias("class_id"), (F.col("members") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("least", "rep").alias("head")))
+    out = sig.select("doc_id", "th", "c1", "c2", "n").join(known, (F.col("c1") == F.col("k1")) & (F.col("c2") == F.col("k2")) & (F.col("n") == F.col("k")), "left")
     shown = lambda c: F.nullif(F.coalesce(c, F.col("doc_id")), F.lit(top))
-    return out.select(F.nullif("doc_id", F.lit(top)).alias("doc_id"), shown(F.col("class_id")).alias("class_id"), F.col("n").alias("n_ngrams"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), shown(F.col("group_id")).alias("group_id"))
+    return out.select(F.nullif("doc_id", F.lit(top)).alias("doc_id"), shown(F.col("class_id")).alias("class_id"), F.col("n").alias("n_ngrams"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), shown(F.col("head.doc_id")).alias("group_id"), F.coalesce((F.col("doc_id") == F.col("head.doc_id")) & (F.col("th") == F.col("head.th")), F.lit(True)).alias("representative"), F.col("th").alias("row_key"))
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join(table(spark, sf_dir, "documents"))
+    return ngram_join(table(spark, sf_dir, "documents")).drop("representative", "row_key")

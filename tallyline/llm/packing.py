@@ -305,7 +305,7 @@ def best_fit_pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cell = min(CELL_ROWS, max(LEAST_ROWS, sum(counts.values()) // (8 * partitions)))
     cells = max([1, *(-(-k // cell) for k in counts.values())])
-    ranked = running_total(pieces, ["length"], ["doc_id", "piece", "ids_crc32"], F.lit(1), F.lit(cells), "rank")
+    ranked = running_total(pieces, ["length"], ["doc_id", "piece", "ids_crc32"], F.lit(1), F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(cells)), "rank")
     run = np.array(runs, np.int64).reshape(-1, 6)
     wide = int(run[:, 2].max(initial=0)) + 1
     starts = run[:, 0] * wide + run[:, 1]

@@ -2,9 +2,12 @@ import hashlib
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tallyline.llm import repeats
+from tallyline.llm.columns import repeated_windows
 from tallyline.llm.repeats import Rule, without_repeats
 from tallyline.llm.substring_dedup import op2_substring_dedup, substring_dedup
 from tallyline.llm.suffix_dedup import op4_suffix_dedup, repeated_bytes
@@ -58,6 +61,47 @@ def test_bytes_match_brute_force(awkward, length, seed):
     assert got(repeated_bytes(awkward, length=length, seed=seed)) == brute(rows, length, True, False)
 
 
+@pytest.mark.parametrize("many,very", [(1, 2048), (16, 1), (1, 1)])
+@pytest.mark.parametrize("length,seed,bytewise", [(40, 20, True), (13, 8, False)])
+def test_common_seeds_match_brute_force(awkward, monkeypatch, many, very, length, seed, bytewise):
+    monkeypatch.setattr(repeats, "MANY", many)
+    monkeypatch.setattr(repeats, "VERY_MANY", very)
+    monkeypatch.setattr(repeats, "FLUSH", 200)
+    rows = [(r["doc_id"], r["text"]) for r in awkward.collect()]
+    assert got(without_repeats(awkward, Rule(length, seed, bytewise, not bytewise), "doc_id", "text")) == brute(rows, length, bytewise, not bytewise)
+
+
+@pytest.mark.parametrize("smaller", [False, True])
+def test_columns_match_brute_force(smaller):
+    r = np.random.default_rng(4)
+    reach, n = 6, 400
+    left, right = (r.integers(0, 2, (n, reach)).astype(np.uint8) for _ in range(2))
+    nl, nr = (np.where(r.random(n) < 0.3, r.integers(0, reach, n), reach) for _ in range(2))
+    group, ids = r.integers(0, 12, n), r.integers(0, 50, n)
+    rows, first, last = repeated_windows(group, left, nl, right, nr, ids if smaller else None)
+    have = {(i, k) for i, a, b in zip(rows.tolist(), first.tolist(), last.tolist()) for k in range(a, b + 1)}
+    held = defaultdict(list)
+    for i in range(n):
+        for k in range(reach + 1):
+            if nl[i] >= k and nr[i] >= reach - k:
+                held[group[i], k, left[i, :k].tobytes(), right[i, : reach - k].tobytes()].append(i)
+    want = {(i, key[1]) for key, v in held.items() for i in v if (ids[i] > min(ids[j] for j in v) if smaller else len(v) > 1)}
+    assert have == want
+
+
+def test_words_on_which_polynomials_modulo_two_to_the_64_collide(spark):
+    swap = str.maketrans("ab", "ba")
+    rows = []
+    for k in (512, 1024, 2048, 4096):
+        a = "".join("ab"[bin(i).count("1") % 2] for i in range(k))
+        for w in (a, a.translate(swap)):
+            rows.append((len(rows), f"{w} " + " ".join(f"q{k}x{i}" for i in range(12))))
+            rows.append((len(rows) + 100, f"u{len(rows)} " * 3 + w[: k // 2] + " ".join(w[:40])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for rule in (Rule(13, 8, False, True), Rule(400, 300, True, False), Rule(3, 1, False, True)):
+        assert got(without_repeats(df, rule, "doc_id", "text")) == brute(rows, rule.length, rule.bytewise, rule.smaller)
+
+
 def test_nothing(nothing):
     assert substring_dedup(nothing).count() == 0
     assert repeated_bytes(nothing).count() == 0

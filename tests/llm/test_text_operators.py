@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from tallyline.llm import license_scan, packing, topk_search
 from tallyline.llm.exact_dedup import exact_dedup
@@ -99,10 +100,10 @@ def test_quality_edges(spark, awkward, nothing):
 
 
 def check_packing(got, rows, capacity=packing.CAPACITY):
-    enc = packing.Encoder(packing.byte_bpe())
+    tok = Tokenizer.from_file(packing.byte_bpe())  # as the file says, with nothing set
     want = []
     for i, t in rows:
-        ids = np.array([*enc.tok.encode(t or "", add_special_tokens=False).ids, packing.END], "<u4")
+        ids = np.array([*tok.encode(t or "", add_special_tokens=False).ids, packing.END], "<u4")
         first = (len(ids) - 1) % capacity + 1
         cuts = [0, *range(first, len(ids) + 1, capacity)]
         want += [(i, k, a, b - a, zlib.crc32(ids[a:b].tobytes())) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))]
@@ -117,7 +118,11 @@ def check_packing(got, rows, capacity=packing.CAPACITY):
 
 def test_packing(spark, awkward, nothing):
     rows = [(r["doc_id"], r["text"]) for r in awkward.collect()]
-    odd = ["a  b", " a b ", "x <|endoftext|> y", "é è  z", "don't  can't 12 34", "a \n\n b\t c", "日本 語", "a\x85 b", "　x  y", "×a÷ b", "a\n\nB"]
+    assert Tokenizer.from_file(packing.byte_bpe()).encode("x <|endoftext|> y", add_special_tokens=False).ids == [87, 220, 50256, 331]
+    swap = str.maketrans("ab", "ba")
+    morse = ["".join("ab"[bin(i).count("1") % 2] for i in range(k)) for k in (512, 1024, 2048, 4096)]
+    odd = [f"{w} q0 q1" for a in morse for w in (a, a.translate(swap))]
+    odd += ["<|endoftext|>", "a<|endoftext|>", "one two <|endoftext|>three  four\n\n<|endoftext|> five six", "<|endoftext", "a  b", " a b ", "x <|endoftext|> y", "é è  z", "don't  can't 12 34", "a \n\n b\t c", "日本 語", "a\x85 b", "　x  y", "×a÷ b", "a\n\nB"]
     extra = spark.createDataFrame([(1000 + i, t) for i, t in enumerate(odd)], "doc_id long, text string")
     df = awkward.select("doc_id", "text").union(extra)
     check_packing(packing.best_fit_pack(df, packing.byte_bpe()).collect(), rows + [(1000 + i, t) for i, t in enumerate(odd)])
@@ -130,6 +135,17 @@ def test_packing_query(spark):
     assert n <= 1.02 * least + 1
 
 
+def test_literal_added_tokens():
+    enc = packing.Encoder(packing.byte_bpe(), literal=True)
+    raw = np.frombuffer(b"x <|endoftext|> y", np.uint8)
+    assert len(enc.encode(raw, np.array([0, len(raw)]))[0]) == 9
+
+
+def test_a_piece_is_not_its_own_complement():
+    assert packing.pack({500: 1, 24: 1, 400: 1, 76: 1}, 1000)[1] == 1
+    assert packing.pack({50: 3}, 100)[1] == 2
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_pack_plans(seed):
     r = np.random.default_rng(seed)
@@ -227,6 +243,7 @@ def plain_top(rows, k=5):
 def test_top_k(spark, shape, monkeypatch):
     monkeypatch.setattr(topk_search, "BUCKET", 16)
     monkeypatch.setattr(topk_search, "BLOCK", 4)
+    monkeypatch.setattr(topk_search, "PASS", 40)
     r = np.random.default_rng(1)
     n = 4 if shape == "few" else 400
     x = r.normal(size=(n, 8))
@@ -240,5 +257,16 @@ def test_top_k(spark, shape, monkeypatch):
     assert sorted(tuple(r) for r in topk_search.top_k(df, F.col("vec_id") % 50 == 0).collect()) == plain_top(rows)
 
 
+def test_top_k_of_several_dimensions_and_clashing_columns(spark, monkeypatch):
+    monkeypatch.setattr(topk_search, "BUCKET", 8)
+    monkeypatch.setattr(topk_search, "BLOCK", 2)
+    r = np.random.default_rng(2)
+    rows = [(10 * i, r.normal(size=[3, 8, 5][i % 3] if i % 7 else 8).tolist()) for i in range(60)] + [(50, []), (2000, [])]
+    rows = [(*x, x[0] + 1, 2.5, "z", 7, 8) for x in rows]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, d long, length double, v string, p int, is_query int").repartition(3)
+    want = [x for n in (3, 5, 8) for x in plain_top([y[:2] for y in rows if len(y[1]) == n])]
+    assert sorted(tuple(x) for x in topk_search.top_k(df, F.col("vec_id") % 50 == 0).collect()) == sorted(want)
+
+
 def test_top_k_of_nothing(spark):
     assert topk_search.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0).count() == 0
