@@ -1,9 +1,10 @@
 """License scans by a positional index of rare tokens.
 
-Templates are well-known licence sentences, base phrases among them. A first scan counts in how many documents each
-word of their small vocabulary occurs. The rarest words of a template, by that, are its anchors; where a file holds
-one, the template's posting gives the place where the template would begin. Places on which several anchors agree, and
-all places for an anchor of a mandatory phrase, are verified word by word, whole mandatory phrases above all.
+Templates are well-known licence sentences and notices by name, base phrases among them. A first scan counts in how many
+documents each word of their small vocabulary occurs. Of the licence words that a file holds, those of the highest idf are
+looked up; each posting gives a place where a template would begin. Places on which several words agree, and all places for
+the rarest word of a mandatory phrase, which is always looked up so that no phrase is missed, are verified word by word,
+whole mandatory phrases above all.
 """
 
 from __future__ import annotations
@@ -33,13 +34,24 @@ TEMPLATES = (
     ("lgpl", "the terms of the gnu lesser general public license", "gnu lesser general public license"),
     ("agpl", "the terms of the gnu affero general public license", "gnu affero general public license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy", "permission is hereby granted free of charge"),
+    ("mit", "released under the mit license", "mit license"),
+    ("bsd", "released under the bsd license", "bsd license"),
+    ("bsd", "released under the bsd 3 clause license", "bsd 3 clause"),
+    ("bsd", "released under the bsd 2 clause license", "bsd 2 clause"),
+    ("isc", "released under the isc license", "isc license"),
+    ("mpl-2.0", "released under the mozilla public license version 2 0", "mozilla public license version 2 0"),
+    ("apache-2.0", "released under the apache license 2 0", "apache license 2 0"),
+    ("gpl-2.0", "released under the gnu gpl version 2", "gpl version 2"),
+    ("gpl-3.0", "released under the gnu gpl version 3", "gpl version 3"),
+    ("cc0-1.0", "released under cc0 1 0 universal", "cc0 1 0"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose", "permission to use copy modify"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use in source and binary forms"),
     ("mpl-2.0", "subject to the terms of the mozilla public license v 2 0", "mozilla public license v 2 0"),
     ("public-domain", "this is free and unencumbered software released into the public domain", "released into the public domain"),
 )
-#: Anchors of a template, the share of a template's weight that a match must hold, and idf of words not seen.
-ANCHORS, COVER = 3, 0.7
+#: A file's licence words that are looked up, those of the highest idf; the share of all documents beyond which a word is too
+#: common for that; the share of a template's weight that a match must hold.
+LOOKUPS, COMMON, COVER = 8, 0.1, 0.7
 
 
 @dataclass(frozen=True)
@@ -97,10 +109,11 @@ def document_counts(vocabulary: Vocabulary) -> Callable:
 
 
 class Index:
-    """Templates as rows of word numbers and idf weights, and postings of their anchors."""
+    """Templates as rows of word numbers and idf weights, and postings of all their words."""
 
     def __init__(self, every: list[Template], vocabulary: Vocabulary, counts: np.ndarray):
         idf = np.log((1 + counts[-1]) / (1 + counts[:-1])) + 1e-3
+        self.idf, self.common = idf, counts[:-1] > COMMON * counts[-1]
         wide = max(len(t.words) for t in every)
         self.every = every
         self.ids = np.full((len(every), wide), -2, np.int16)
@@ -113,25 +126,39 @@ class Index:
             self.weight[k, : len(ids)] = idf[ids] / idf[ids].sum()
             self.must[k, t.must[0] : t.must[1]] = True
             inside = sorted(range(*t.must), key=lambda i: (-idf[ids[i]], i))
-            rare = [inside[0]] if t.base else list(dict.fromkeys([inside[0], *sorted(range(len(ids)), key=lambda i: (-idf[ids[i]], i))[:ANCHORS]]))
-            for i in rare:
+            for i in range(len(ids)):
                 anchor.append(ids[i]), template.append(k), place.append(i), whole.append(i == inside[0])
         order = np.argsort(anchor, kind="stable")
         self.anchor, self.template, self.place, self.whole = (np.array(x)[order] for x in (anchor, template, place, whole))
         self.first = np.searchsorted(self.anchor, np.arange(len(vocabulary.hashes) + 1))
+        self.always = np.isin(np.arange(len(vocabulary.hashes)), self.anchor[self.whole])
+
+    def looked_up(self, doc: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Flags the licence words (doc, word) that are looked up."""
+        n = len(self.idf)
+        held, back = np.unique(doc * n + word, return_inverse=True)
+        d, w = held // n, held % n
+        order = np.lexsort((w, -np.where(self.common[w], -1, self.idf[w]), d))
+        d = d[order]
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order)) - np.searchsorted(d, d)
+        return ((rank < LOOKUPS) & ~self.common[w] | self.always[w])[back]
 
     def matches(self, v: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of verified places: text, template, first word in its text, share of weight, and whether the phrase is whole."""
         hit = np.flatnonzero(v >= 0)
-        count = (self.first[1:] - self.first[:-1])[v[hit]]
-        hit, count = hit[count > 0], count[count > 0]
         doc = np.searchsorted(o, hit, "right") - 1
+        asked = self.looked_up(doc, v[hit].astype(np.int64))
+        hit, doc = hit[asked], doc[asked]
+        count = (self.first[1:] - self.first[:-1])[v[hit]]
         at = np.repeat(self.first[v[hit]] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
         template, start, doc = self.template[at], np.repeat(hit, count) - self.place[at], np.repeat(doc, count)
-        key = np.stack([doc, template, start])
-        key, back, votes = np.unique(key, axis=1, return_inverse=True, return_counts=True)
-        sure = np.bincount(back.ravel(), self.whole[at], key.shape[1]) > 0
-        doc, template, start = key[:, sure | (votes > 1)]
+        wide, n = self.ids.shape[1], len(self.every)
+        span = len(v) + 2 * wide
+        key, back, votes = np.unique((doc * n + template) * span + start + wide, return_inverse=True, return_counts=True)
+        sure = np.bincount(back, self.whole[at], len(key)) > 0
+        key = key[sure | (votes > 1)]
+        doc, template, start = key // span // n, key // span % n, key % span - wide
         place = start[:, None] + np.arange(self.ids.shape[1])
         inside = (place >= o[doc][:, None]) & (place < o[doc + 1][:, None])
         same = inside & (np.append(v, -1)[np.clip(place, 0, len(v))] == self.ids[template])
@@ -196,4 +223,25 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan(table(spark, sf_dir, "documents")).drop("places")
+    return license_scan(table(spark, sf_dir, "documents")).drop("places").withColumn("score", F.round("score", 6))
+
+
+def sql() -> str:
+    """The same: places of whole mandatory phrases, and the share of their templates' idf that matches there."""
+    listed = lambda w: "[" + ", ".join(f"'{x}'" for x in w) + "]"
+    rows = ", ".join(f"('{t.label}', {listed(t.words)}, {listed(t.words[slice(*t.must)])}, {t.must[0]}, {t.base})" for t in templates())
+    return f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+t AS (SELECT row_number() OVER () AS k, * FROM (VALUES {rows}) v(label, words, must, skip, base)),
+v AS (SELECT DISTINCT unnest(words) AS word FROM t),
+f AS (SELECT x.word, count(*) AS df FROM (SELECT r, unnest(list_distinct(w)) AS word FROM d) x GROUP BY x.word),
+idf AS (SELECT v.word, ln((1 + (SELECT count(*) FROM d))::DOUBLE / (1 + coalesce(df, 0))) + 1e-3 AS idf FROM v LEFT JOIN f ON v.word = f.word),
+p AS (SELECT t.k, unnest(range(0, len(words))) AS j, unnest(words) AS word FROM t),
+u AS (SELECT r, w, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word FROM d),
+m AS (SELECT u.r, t.k, t.label, t.base, u.i - t.skip AS start, u.w FROM u JOIN t ON u.word = t.must[1] WHERE u.w[u.i:u.i + len(t.must) - 1] = t.must),
+s AS (SELECT m.r, m.k, m.label, m.base, m.start, sum(CASE WHEN m.start + p.j >= 1 AND m.w[m.start + p.j] = p.word THEN idf ELSE 0 END) / sum(idf) AS share
+  FROM m JOIN p ON m.k = p.k JOIN idf ON p.word = idf.word GROUP BY m.r, m.k, m.label, m.base, m.start),
+g AS (SELECT r, count(*) FILTER (base) AS n, min(start) FILTER (base) - 1 AS a, max(start) FILTER (base) - 1 AS z, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS own, string_agg(DISTINCT label, ',' ORDER BY label) AS every, max(least(share, 1.0)) AS best
+  FROM s WHERE base OR share >= {COVER} GROUP BY r)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, a::BIGINT AS first_word, z::BIGINT AS last_word, coalesce(own, '') AS base_labels, coalesce(every, '') AS labels, round(coalesce(best, 0.0), 6)::DOUBLE AS score FROM d LEFT JOIN g ON d.r = g.r
+"""

@@ -224,5 +224,21 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.select(F.nullif("doc_id", F.lit(top)).alias("doc_id"), shown(F.col("class_id")).alias("class_id"), F.col("n").alias("n_ngrams"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), shown(F.col("head.doc_id")).alias("group_id"), F.coalesce((F.col("doc_id") == F.col("head.doc_id")) & (F.col("th") == F.col("head.th")), F.lit(True)).alias("representative"), F.col("th").alias("row_key"))
 
 
+#: All pairs that share an n-gram, counted; groups by what links reach.
+SQL = r"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, 9223372036854775807) AS o, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT r, doc_id, o, list_sort(list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS g FROM d),
+c AS MATERIALIZED (SELECT g, min(o) AS class, min(r) AS node, count(*) AS members FROM s WHERE len(g) > 0 GROUP BY g),
+u AS (SELECT node, len(g) AS n, unnest(g) AS x FROM c),
+p AS (SELECT a.node AS a, b.node AS b FROM u a JOIN u b ON a.x = b.x AND a.node < b.node GROUP BY a.node, b.node, a.n, b.n HAVING count(*) >= 0.8::DOUBLE * (a.n + b.n - count(*)) - 1e-9),
+e AS MATERIALIZED (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+t AS (SELECT node AS a, node AS b FROM c UNION SELECT t.a, e.b FROM t JOIN e ON t.b = e.a),
+k AS (SELECT t.a, min(c.class) AS grp FROM t JOIN c ON t.b = c.node GROUP BY t.a),
+l AS (SELECT e.a, sum(c.members) AS links FROM e JOIN c ON e.b = c.node GROUP BY e.a)
+SELECT s.doc_id, nullif(coalesce(c.class, s.o), 9223372036854775807) AS class_id, len(s.g)::BIGINT AS n_ngrams, (coalesce(c.members - 1, 0) + coalesce(l.links, 0))::BIGINT AS n_links,
+  nullif(coalesce(k.grp, s.o), 9223372036854775807) AS group_id FROM s LEFT JOIN c ON s.g = c.g LEFT JOIN k ON c.node = k.a LEFT JOIN l ON c.node = l.a
+"""
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents")).drop("representative", "row_key")

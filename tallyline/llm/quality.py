@@ -98,7 +98,7 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("h").slice(a, z - a), batch.column("y").slice(a, z - a), pa.array([i[p:q].tobytes() for p, q in rows], pa.binary()), pa.array([x[p:q].tobytes() for p, q in rows], pa.binary())], ["h", "y", "i", "x"])
 
 
-def train(labelled: DataFrame, sample: int = SAMPLE, epochs: int = EPOCHS) -> np.ndarray:
+def train(labelled: DataFrame, epochs: int = EPOCHS) -> np.ndarray:
     """Weights from labelled rows (h: a hash that orders them, y: 0 or 1, text); the bias is the last.
 
     Examples stream to the learner one partition at a time, in the order of their hash; reruns agree.
@@ -139,7 +139,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, held_out: Column, id_col:
     known = labels.filter(F.col(label_col).isNotNull()).groupBy(F.col("doc_id").alias("k")).agg((F.avg(label_col) >= 0.5).cast("double").alias("y"))
     ids = docs.filter(~F.col("held_out")).select("doc_id").join(known, F.col("doc_id") == F.col("k")).select("k", "y", F.xxhash64("k").alias("h"))
     chosen = ids.orderBy("h", "k").limit(sample)  # at most `sample` short rows
-    weights = spark.sparkContext.broadcast(train(docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("k")).select("h", "y", "text"), sample))
+    weights = spark.sparkContext.broadcast(train(docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("k")).select("h", "y", "text")))
     return docs.mapInArrow(scorer(weights), "doc_id long, held_out boolean, score double, predicted int")
 
 

@@ -27,4 +27,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": exact_dedup.SQL, "op8_mix_sources": mixing.SQL, "op9_exact_top_k": topk_search.SQL}
+    return {"op1_license_scan": license_scan.sql(), "op2_substring_dedup": substring_dedup.SQL, "op3_ngram_jaccard_join": ngram_join.SQL, "op4_suffix_dedup": suffix_dedup.SQL, "op7_exact_dedup": exact_dedup.SQL, "op8_mix_sources": mixing.SQL, "op9_exact_top_k": topk_search.SQL}

@@ -25,6 +25,18 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", F.col("n").alias("n_words"), "spans", F.col("kept").cast("string").alias("kept"))
 
 
+#: Windows by their words; words covered by a window that starts in a smaller id go.
+SQL = r"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT r, doc_id, unnest(list_transform(range(1, len(w) - 11), lambda i: {'i': i, 'k': array_to_string(w[i:i + 12], ' ')})) AS x FROM d WHERE len(w) >= 13),
+f AS (SELECT x.k AS k, min(coalesce(doc_id, 9223372036854775807)) AS least FROM s GROUP BY x.k),
+c AS (SELECT DISTINCT s.r, unnest(range(s.x.i, s.x.i + 13)) AS j FROM s JOIN f ON s.x.k = f.k WHERE f.least < coalesce(s.doc_id, 9223372036854775807)),
+u AS (SELECT r, unnest(range(1, len(w) + 1)) AS j, unnest(w) AS word FROM d),
+k AS (SELECT u.r, string_agg(u.word, ' ' ORDER BY u.j) AS kept, count(*) AS n FROM u ANTI JOIN c ON u.r = c.r AND u.j = c.j GROUP BY u.r)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, (len(d.w) - coalesce(k.n, 0))::BIGINT AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256 FROM d LEFT JOIN k ON d.r = k.r
+"""
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     gone = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return substring_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", gone.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))

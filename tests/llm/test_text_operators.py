@@ -10,9 +10,9 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tallyline.llm import license_scan, packing, topk_search
+from tallyline.llm import license_scan, packing, quality, topk_search
 from tallyline.llm.exact_dedup import exact_dedup
-from tallyline.llm.language_id import held_out_fifth, language_id, op6_language_id
+from tallyline.llm.language_id import BITS, PENALTY, held_out_fifth, language_id, language_model, op6_language_id
 from tallyline.llm.mixing import mix, op8_mix_sources
 from tallyline.llm.quality import op10_quality_classifier, quality_scores
 
@@ -46,6 +46,27 @@ def test_license_scan(spark, awkward):
     assert have[0]["labels"] == "cc-by,cc-by-nc-4.0" and have[5]["labels"] == "apache-2.0" and have[5]["score"] == pytest.approx(1)
 
 
+def test_license_lines_of_the_tables(spark, nothing):
+    """Every licence line gets its label; licences by name count, their words elsewhere don't."""
+    lines = {"Licensed under the Apache License, Version 2.0.": "apache-2.0", "Released under the MIT License.": "mit", "This work is licensed under the GNU General Public License, version 3.": "gpl,gpl-3.0", "All rights reserved.": "reserved", "Licensed under CC BY-NC 4.0.": "cc-by,cc-by-nc-4.0", "Released under the BSD License": "bsd", "Released under the BSD 3-Clause License": "bsd", "Released under the ISC License": "isc", "the license of MIT was released under no name": ""}
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    df = docs.union(spark.createDataFrame([(10**9 + i, f"some words before\n{t}\nand after") for i, t in enumerate(lines)], "doc_id long, text string"))
+    got = {r["doc_id"]: r for r in license_scan.license_scan(df).collect()}
+    assert [got[10**9 + i]["labels"] for i in range(len(lines))] == list(lines.values())
+    for r in docs.collect():
+        for line, label in lines.items():
+            if label and line in (r["text"] or ""):
+                assert set(label.split(",")) <= set(got[r["doc_id"]]["labels"].split(",")), (r["doc_id"], line)
+    assert license_scan.license_scan(nothing).count() == 0
+
+
+def test_license_phrases_among_many_rare_words(spark):
+    """A file that holds more licence words than are looked up loses no phrase."""
+    every = " ".join(sorted({w for t in license_scan.templates() for w in t.words}))
+    rows = [(1, f"{every} {every} general public license {every} all rights reserved"), (2, "plain " * 50), (3, None)] + [(10 + i, "the of and") for i in range(20)]
+    check_scan(license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string")), rows)
+
+
 def test_license_scan_query(spark):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     check_scan(license_scan.op1_license_scan(spark, SF), rows)
@@ -67,6 +88,57 @@ def test_language_id(spark, awkward, nothing):
     assert {r["lang_pred"] for r in language_id(awkward.withColumn("lang", F.lit(None).cast("string")), held_out_fifth()).collect()} == {"und"}
 
 
+def plain_mixture(text, logs):
+    """Proportions of the chosen set, by slow estimation in doubles, from the log likelihoods of slots."""
+    raw = text.encode()
+    words_, ll = re.findall(rb"[A-Za-z\x80-\xff]+", raw), []
+    for w in re.finditer(rb"[A-Za-z\x80-\xff]+", raw):
+        b = bytes([32]) + bytes(c + 32 if 65 <= c <= 90 else c for c in w.group()) + bytes([32])
+        slots = [((b[i - 1] << 16 | b[i] << 8 | b[i + 1]) * 0x9E3779B1 % 2**32) >> (32 - BITS) for i in range(1, len(b) - 1)]
+        ll.append(logs[:, slots].astype(float).sum(axis=1))
+    x = np.exp(np.array(ll) - np.array(ll).max(axis=1)[:, None])
+    price = PENALTY * 0.5 * np.log(max(len(words_), 2))
+
+    def fit(allowed):
+        p = np.where(allowed, 1.0, 0) / allowed.sum()
+        for _ in range(2000 if allowed.sum() > 1 else 0):
+            j = p * x
+            p = (j / j.sum(axis=1)[:, None]).mean(axis=0)
+        return p, np.log((p * x).sum(axis=1)).sum()
+
+    order = np.argsort(-fit(np.ones(len(logs), bool))[0], kind="stable")
+    best = None
+    for m in range(1, len(logs) + 1):
+        allowed = np.zeros(len(logs), bool)
+        allowed[order[:m]] = True
+        p, score = fit(allowed)
+        if best is None or score - m * price > best[0]:
+            best = (score - m * price, p)
+    return best[1]
+
+
+def test_mixtures_match_plain_estimation(spark):
+    """Five languages, and texts of one to five of them, ties and single words among them."""
+    r = random.Random(8)
+    tongues = {f"l{k}": ["".join(r.choice("abcdefghijklmnopqrstuvwxyzäöéß"[5 * k : 5 * k + 9]) for _ in range(r.randint(2, 9))) for _ in range(60)] for k in range(5)}
+    rows = [(i, " ".join(r.choices(tongues[f"l{i % 5}"], k=40)), f"l{i % 5}") for i in range(60)]
+    for i in range(60):
+        some = r.sample(sorted(tongues), i % 5 + 1)
+        rows.append((100 + i, " ".join(w for s in some for w in r.choices(tongues[s], k=r.randint(1, 90))), None))
+    rows += [(300, "a", None), (301, "zz Zz ZZ", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    langs, logs = language_model(df.filter("lang is not null"))
+    got = {r["doc_id"]: r for r in language_id(df, F.lit(False)).collect()}
+    several = 0
+    for i, text, _ in rows:
+        want = plain_mixture(text, logs)
+        have = np.array([got[i]["proportions"].get(x, 0.0) for x in langs])
+        assert np.abs(have - want).max() < 0.03 and ((have > 0.03) == (want > 0.03)).all(), (i, have, want)
+        assert got[i]["lang_pred"] == langs[int(np.argmax(have))] and got[i]["score"] == have.max()
+        several += (want > 0).sum() > 3
+    assert several > 3
+
+
 def test_mixture_proportions(spark):
     """A text in two languages keeps both, in about the right shares."""
     a, b = ["alpha", "gamma", "lambda", "sigma", "omega"], ["krk", "vlk", "smrt", "prst", "hrb"]
@@ -88,6 +160,62 @@ def test_quality_held_out_accuracy(spark):
     assert np.mean([r["predicted"] == r["quality"] for r in got]) > 0.95
 
 
+def test_quality_matches_plain_updates(spark):
+    """Scores against updates of follow-the-regularised-leader written out per coordinate."""
+    r = random.Random(6)
+    good, bad = ["clear", "Well", "made", "prose", "12"], ["BUY", "now", "!!!", "now", "x9"]
+    rows = [(i, " ".join(r.choices(good if i % 2 else bad, k=r.randint(1, 12))), i % 2) for i in range(80)] + [(200, "", 1), (201, None, 0)]
+    docs = spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows if i != 7], "doc_id long, quality int")
+    held = F.col("doc_id") % 4 == 3
+    got = {x["doc_id"]: x for x in quality_scores(docs, labels, held).collect()}
+    hashes = {x["doc_id"]: x["h"] for x in docs.select("doc_id", F.xxhash64("doc_id").alias("h")).collect()}
+
+    def example(text):
+        raw = np.frombuffer((text or "").encode(), np.uint8)
+        slots, values, _ = quality.features(raw, np.array([0, len(raw)]))
+        x = {}
+        for i, v in zip(slots.tolist(), values.tolist(), strict=True):
+            x[i] = x.get(i, 0.0) + v
+        return {i: float(np.float32(v)) for i, v in x.items()} | {quality.SLOTS: 1.0}
+
+    z, n = {}, {}
+
+    def weight(i):
+        if abs(z.get(i, 0.0)) <= quality.L1:
+            return 0.0
+        return -(z[i] - np.sign(z[i]) * quality.L1) / ((quality.BETA + n[i] ** 0.5) / quality.ALPHA + quality.L2)
+
+    for _ in range(quality.EPOCHS):
+        for i, text, y in sorted([x for x in rows if x[0] % 4 != 3 and x[0] != 7], key=lambda x: hashes[x[0]]):
+            x = example(text)
+            w = {k: weight(k) for k in x}
+            p = 1 / (1 + np.exp(-sum(w[k] * v for k, v in x.items())))
+            for k, v in x.items():
+                g = (p - y) * v
+                sigma = ((n.get(k, 0.0) + g * g) ** 0.5 - n.get(k, 0.0) ** 0.5) / quality.ALPHA
+                z[k], n[k] = z.get(k, 0.0) + g - sigma * w[k], n.get(k, 0.0) + g * g
+    for i, text, _ in rows:
+        want = 1 / (1 + np.exp(-sum(weight(k) * v for k, v in example(text).items())))
+        assert got[i]["score"] == pytest.approx(want, abs=1e-4) and got[i]["held_out"] == (i % 4 == 3)
+
+
+def test_quality_features_are_plain_counts():
+    """Each view of a text has as many n-grams as its words allow, and equal n-grams share a slot."""
+    text = "One two two Three two two one"
+    raw = np.frombuffer(text.encode(), np.uint8)
+    slots, values, owners = quality.features(raw, np.array([0, len(raw)]))
+    w = text.lower().split()
+    views = [w, list(zip(w[:-1], w[1:], strict=True))]
+    at = 0
+    for v in views:
+        mine = slots[at : at + len(v)]
+        assert [[a == b for b in v] for a in v] == [[a == b for b in mine] for a in mine]
+        at += len(v)
+    repeats = sum(a == b for k in (1, 2, 3) for a, b in zip(w[:-k], w[k:], strict=True))
+    assert len(slots) == 7 + 6 + 7 + 6 + 5 + repeats and np.allclose(values, 1 / 7) and not owners.any()
+
+
 def test_quality_edges(spark, awkward, nothing):
     labels = spark.createDataFrame([(0, 1, 0), (7, 0, 0), (7, 0, 1), (14, None, None), (None, 1, 1), (999, 1, 1)], "doc_id long, quality int, toxic int")
     got = quality_scores(awkward, labels, F.lit(False)).collect()
