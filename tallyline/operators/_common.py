@@ -2,20 +2,37 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Rows up to which a roster, register or notice is sent to every executor; beyond, joins shuffle.
-BROADCAST_ROWS = 200_000
+#: Bytes up to which a roster, register or notice is sent to every executor; beyond, joins shuffle.
+BROADCAST_BYTES = 64 << 20
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if a bounded count finds it within `rows`; else as it is, for a shuffled join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if the planner's estimate from the files beneath is within `limit`; else as it is, so that
+    the join shuffles unless adaptive execution finds the real size small. Nothing is run for it."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return F.broadcast(df) if size <= limit else df
+
+
+_written: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def remove_written() -> None:
+    """Removes what written() has left, once no lazy result is in use."""
+    while _written:
+        spark, path = _written.pop()
+        with contextlib.suppress(Exception):  # the session may be gone
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -30,13 +47,19 @@ def least_by(df: DataFrame, keys: list[str], order: list[str], values: list[str]
 
 def written(df: DataFrame) -> DataFrame:
     """df, written to the shared folder in spark.checkpoint.dir and read again: what several later steps use is computed
-    once, plans stay short, and a lost executor costs nothing that was written."""
+    once, plans stay short, and a lost executor costs nothing that was written. Results are lazy and may read the files late,
+    so these stay until remove_written(), which the end of the process calls."""
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = found.get() if found.isDefined() else f"file://{tempfile.mkdtemp(prefix='tallyline-')}"
+        root = found.get() if found.isDefined() else None
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: executors need a folder that all of them share")
+        root = f"file://{tempfile.mkdtemp(prefix='tallyline-')}"
         spark.sparkContext.setCheckpointDir(root)
     path = f"{root}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)

@@ -30,6 +30,14 @@ def apply_adjournments(matches: DataFrame, reposted: DataFrame) -> tuple[DataFra
     return matches.join(hits, "item_id", "left_anti"), adjourned.withColumn("tier", tier_of(held))
 
 
+def key_overlap(items: DataFrame, reposted: DataFrame) -> DataFrame:
+    """One row: case keys of the lists, of the notices, of both, and of the lists alone, with the notices' share that is listed."""
+    keys = lambda df, c: df.select(F.explode("case_keys").alias("case_key")).distinct().withColumn(c, F.lit(True))
+    both = keys(items, "a").join(keys(reposted, "b"), "case_key", "full")
+    n = both.agg(F.count("a").alias("listed"), F.count("b").alias("noticed"), F.count_if(F.col("a") & F.col("b")).alias("both_have"), F.count_if(F.col("a") & F.col("b").isNull()).alias("only_listed"))
+    return n.withColumn("share", F.try_divide("both_have", "noticed"))
+
+
 def notice_only(matches: DataFrame, reposted: DataFrame, register: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
     """Reposted matters of the register, or else of the ledger, that no match has; the first key of a notice row counts."""
     keys = reposted.select("notice_ord", F.posexplode("case_keys").alias("key_ord", "case_key"), F.struct(*NOTICE).alias("reposted"))

@@ -1,57 +1,93 @@
-"""Expansion of printed case-number cells: lists, ranges, inherited types and back-filled years."""
+"""Expansion of printed case-number cells: lists, ranges, inherited types and back-filled years.
+
+All that a cell holds follows from the cell alone, so it is worked out within its row: nothing is shuffled.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tallyline import constants as K
 
+_PART = "struct<kind: string, year: string, first: bigint, last: bigint>"
+_TYPED = rf"^({K.TYPE_PREFIX})\s*(\d+)$"
+_SPAN = r"^(\d+)\s*(?:TO|-|–|—)\s*(\d+)$"
+
+
+def _given(c: Column) -> Column:
+    return F.nullif(c, F.lit(""))
+
+
+def _number(p: Column, pattern: str, group: int) -> Column:
+    return F.regexp_extract(p, pattern, group).try_cast("bigint")
 
-def _parts(cells: DataFrame, id_col: str, cell_col: str) -> DataFrame:
-    """A row per printed part: _id, _at, kind, year, first, last (of a range; both for a single number)."""
-    text = F.upper(F.coalesce(F.col(cell_col), F.lit("")))
+
+def _segments(cell: Column) -> Column:
+    """array(struct(own type, year, parts)) of a cell; a part is a struct(p, named: its own type)."""
+    text = F.upper(F.coalesce(cell, F.lit("")))
     for pattern, to in (("[\\u00A0]", " "), (r"\bNOS?\b\.?", " "), (r"\bOF\b", "/"), (r"\s*/\s*", "/"), (r"\s+", " ")):
         text = F.regexp_replace(text, pattern, to)
-    segments = cells.select(F.col(id_col).alias("_id"), F.posexplode(F.split(text, ",")).alias("_seg", "_raw"))
-    segments = segments.withColumn("_raw", F.trim("_raw")).filter("_raw <> ''")
-    opener = F.regexp_extract("_raw", rf"^({K.TYPE_PREFIX})\s*", 0)
-    own = F.nullif(F.regexp_replace(opener, "[^A-Z]", ""), F.lit(""))
-    segments = segments.withColumn("_own", own).withColumn("_rest", F.when(own.isNotNull(), F.substring("_raw", F.length(opener) + 1, F.length("_raw"))).otherwise(F.col("_raw")))
-    year = F.nullif(F.regexp_extract("_rest", r"/\s*(\d{4})\s*$", 1), F.lit(""))
-    segments = segments.withColumn("_year", year).withColumn("_rest", F.regexp_replace("_rest", r"/\s*\d{4}\s*$", ""))
-    parts = segments.select("_id", "_seg", "_own", "_year", F.posexplode(F.split("_rest", r"\s*(?:AND|&)\s*")).alias("_part", "_p")).withColumn("_p", F.trim("_p"))
-    parts = parts.withColumn("_at", F.col("_seg") * F.lit(1 << 20) + F.col("_part"))
-    typed = rf"^({K.TYPE_PREFIX})\s*(\d+)$"
-    named = F.when(F.col("_p").rlike(typed) & ~F.col("_p").rlike(r"^\d+$"), F.nullif(F.regexp_replace(F.regexp_extract("_p", typed, 1), "[^A-Z]", ""), F.lit("")))
-    # A segment's type holds from its first part on, a part's own type from the next segment on.
-    parts = parts.withColumn("_named", named)
-    before = Window.partitionBy("_id").orderBy("_seg")
-    per_segment = parts.groupBy("_id", "_seg").agg(F.max("_own").alias("_own"), F.max_by("_named", F.when(F.col("_named").isNotNull(), F.col("_part"))).alias("_later"))
-    carried = F.last(F.coalesce("_later", "_own"), ignorenulls=True).over(before.rowsBetween(Window.unboundedPreceding, -1))
-    per_segment = per_segment.select("_id", "_seg", F.coalesce("_own", carried).alias("_type"))
-    parts = parts.join(per_segment, ["_id", "_seg"]).filter("_type is not null and _p <> ''")
-    span = r"^(\d+)\s*(?:TO|-|–|—)\s*(\d+)$"
-    low, high = F.regexp_extract("_p", span, 1).try_cast("bigint"), F.regexp_extract("_p", span, 2).try_cast("bigint")
-    one = F.regexp_extract("_p", r"^(\d+)$", 1).try_cast("bigint")
-    inner = F.regexp_extract("_p", typed, 2).try_cast("bigint")
-    first = F.coalesce(low, one, inner)
-    return parts.select("_id", "_at", F.when(one.isNull() & low.isNull(), F.coalesce("_named", "_type")).otherwise(F.col("_type")).alias("kind"), F.col("_year").alias("year"), first.alias("first"), F.coalesce(high, first).alias("last")).filter("first is not null and last >= first")
+    raw = F.filter(F.transform(F.split(text, ","), lambda s: F.trim(s)), lambda s: s != "")
+    opened = F.transform(raw, lambda s: F.struct(s.alias("raw"), F.regexp_extract(s, rf"^({K.TYPE_PREFIX})\s*", 0).alias("opener")))
+    owned = F.transform(opened, lambda s: F.struct(_given(F.regexp_replace(s["opener"], "[^A-Z]", "")).alias("own"), s["raw"].alias("raw"), F.length(s["opener"]).alias("n")))
+    rest = F.transform(owned, lambda s: F.struct(s["own"].alias("own"), F.when(s["own"].isNotNull(), F.substring(s["raw"], s["n"] + 1, F.length(s["raw"]))).otherwise(s["raw"]).alias("rest")))
+
+    def part(p: Column) -> Column:
+        named = F.when(p.rlike(_TYPED) & ~p.rlike(r"^\d+$"), _given(F.regexp_replace(F.regexp_extract(p, _TYPED, 1), "[^A-Z]", "")))
+        return F.struct(p.alias("p"), named.alias("named"))
+
+    parts = lambda r: F.transform(F.transform(F.split(F.regexp_replace(r, r"/\s*\d{4}\s*$", ""), r"\s*(?:AND|&)\s*"), lambda s: F.trim(s)), part)
+    return F.transform(rest, lambda s: F.struct(s["own"].alias("own"), _given(F.regexp_extract(s["rest"], r"/\s*(\d{4})\s*$", 1)).alias("year"), parts(s["rest"]).alias("parts")))
+
+
+def _read(part: Column, kind: Column, year: Column) -> Column:
+    p = part["p"]
+    low, one = _number(p, _SPAN, 1), _number(p, r"^(\d+)$", 1)
+    first = F.coalesce(low, one, _number(p, _TYPED, 2))
+    own = F.when(one.isNull() & low.isNull(), F.coalesce(part["named"], kind)).otherwise(kind)
+    return F.struct(own.alias("kind"), year.alias("year"), first.alias("first"), F.coalesce(_number(p, _SPAN, 2), first).alias("last")).cast(_PART)
+
+
+def case_parts(cell: Column) -> Column:
+    """array(struct(kind, year, first, last)) of a cell's numbers and ranges, in order.
+
+    A segment's type holds from its first part on, a part's own type from the next segment on.
+    """
+    start = F.struct(F.lit(None).cast("string").alias("kind"), F.expr(f"cast(array() as array<{_PART}>)").alias("out"))
+
+    def step(a: Column, s: Column) -> Column:
+        kind = F.coalesce(s["own"], a["kind"])
+        here = F.transform(F.filter(s["parts"], lambda p: (p["p"] != "") & kind.isNotNull()), lambda p: _read(p, kind, s["year"]))
+        later = F.try_element_at(F.filter(F.transform(s["parts"], lambda p: p["named"]), lambda n: n.isNotNull()), F.lit(-1))
+        return F.struct(F.coalesce(later, s["own"], a["kind"]).alias("kind"), F.concat(a["out"], here).alias("out"))
+
+    found = F.aggregate(_segments(cell), start, step, lambda a: a["out"])
+    return F.filter(found, lambda p: p["first"].isNotNull() & (p["last"] >= p["first"]))
+
+
+def _dated(parts: Column) -> Column:
+    """parts, of which those without a year take that of the next one that has one."""
+    start = F.struct(F.lit(None).cast("string").alias("year"), F.expr(f"cast(array() as array<{_PART}>)").alias("out"))
+
+    def step(a: Column, p: Column) -> Column:
+        year = F.coalesce(p["year"], a["year"])
+        return F.struct(year.alias("year"), F.array_prepend(a["out"], F.struct(p["kind"].alias("kind"), year.alias("year"), p["first"].alias("first"), p["last"].alias("last"))).alias("out"))
+
+    return F.aggregate(F.reverse(parts), start, step, lambda a: a["out"])
 
 
 def expand_case_cells(cells: DataFrame, id_col: str, cell_col: str) -> tuple[DataFrame, DataFrame]:
     """Keys (id, key_ord, case_key) of all cells, and refused ranges (id, kind, first, last, year, members).
 
     A part without a year takes that of the next part that has one; a range of more than RANGE_CAP members is
-    refused, not expanded.
+    refused, not expanded. Each row of cells counts by itself.
     """
-    parts = _parts(cells, id_col, cell_col).withColumn("members", F.col("last") - F.col("first") + 1)
-    fits = parts.filter(F.col("members") <= K.RANGE_CAP)
-    after = Window.partitionBy("_id").orderBy("_at").rowsBetween(0, Window.unboundedFollowing)
-    fits = fits.withColumn("year", F.first("year", ignorenulls=True).over(after))
-    final = fits.groupBy("_id").agg(F.max_by("year", "_at").alias("_final"))
-    keys = fits.filter("year is not null").select("_id", "_at", "kind", "year", F.explode(F.sequence("first", "last")).alias("_n"))
-    keys = keys.select(F.col("_id").alias(id_col), (F.row_number().over(Window.partitionBy("_id").orderBy("_at", "_n")) - 1).alias("key_ord"), F.concat_ws("/", "kind", F.col("_n").cast("string"), "year").alias("case_key"))
-    refused = parts.filter(F.col("members") > K.RANGE_CAP).join(final, "_id", "left")
-    return keys, refused.select(F.col("_id").alias(id_col), "kind", "first", "last", F.coalesce("year", "_final").alias("year"), "members")
+    read = cells.select(F.col(id_col), case_parts(F.col(cell_col)).alias("_p"))
+    fits = F.filter("_p", lambda p: p["last"] - p["first"] < K.RANGE_CAP)
+    members = lambda p: F.transform(F.sequence(p["first"], p["last"]), lambda n: F.concat_ws("/", p["kind"], n.cast("string"), p["year"]))
+    keys = F.flatten(F.transform(F.filter(_dated(fits), lambda p: p["year"].isNotNull()), members))
+    refused = F.explode(F.filter("_p", lambda p: p["last"] - p["first"] >= K.RANGE_CAP))
+    final = F.try_element_at(fits, F.lit(-1))["year"]
+    refused = read.select(F.col(id_col), final.alias("_final"), refused.alias("_r"))
+    return read.select(F.col(id_col), F.posexplode(keys).alias("key_ord", "case_key")), refused.select(F.col(id_col), "_r.kind", "_r.first", "_r.last", F.coalesce("_r.year", "_final").alias("year"), (F.col("_r.last") - F.col("_r.first") + 1).alias("members"))

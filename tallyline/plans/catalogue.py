@@ -14,13 +14,14 @@ from pyspark.sql.window import Window
 from tallyline import constants as K
 from tallyline.functions.initials import initials_score, initials_state
 from tallyline.functions.similarity import edit_ratio, text_similarity
-from tallyline.functions.text import case_key, dates_iso, highlight_spans, is_noise, letters, name_parts, skeleton
+from tallyline.functions.text import case_key, dates_iso, highlight_spans, is_noise, name_parts, skeleton
 from tallyline.functions.tiers import classify, noisy_or, register_age, tier_of
-from tallyline.operators._common import first_by, least_by, small
+from tallyline.operators._common import least_by
 from tallyline.operators.layout import clusters
 from tallyline.operators.linking import link_names, name_windows
 from tallyline.operators.ranges import expand_case_cells
 from tallyline.operators.views import item_order
+from tallyline.plans import name_sql as N
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -59,23 +60,35 @@ def perturbed_names(parts: DataFrame) -> DataFrame:
     return parts.select("p_partkey", "p_brand", name.alias("printed"))
 
 
-def part_roster(parts: DataFrame, most: int = 20) -> DataFrame:
-    """A roster of the first names by code point, with an initial by their place."""
-    names = parts.select("p_name").distinct().orderBy("p_name").limit(most)  # a roster of a stated length
+PRINTED = """SELECT p_partkey, p_brand, p_size, CASE p_partkey % 6 WHEN 0 THEN i || '.' || u WHEN 1 THEN u WHEN 2 THEN chr(65 + ((p_partkey + 7) % 26)::INTEGER) || '.' || u
+  WHEN 3 THEN w[2] || ' ' || i || '.' || w[1] WHEN 4 THEN i || '.' || replace(replace(u, 'E', 'EE'), 'U', 'OO') ELSE i || '.' || w[1] || w[2] END AS name
+  FROM (SELECT *, chr(65 + (p_partkey % 26)::INTEGER) AS i, upper(p_name) AS u, string_split(upper(p_name), ' ') AS w FROM part)"""
+ROSTER = """SELECT k AS advocate_ord, chr(65 + (k % 26)::INTEGER) || '. ' || array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS name
+  FROM (SELECT p_name, row_number() OVER (ORDER BY encode(p_name)) - 1 AS k FROM (SELECT DISTINCT p_name FROM part))"""
+
+
+def part_roster(parts: DataFrame) -> DataFrame:
+    """A roster of all names in order of code point, with an initial by their place."""
+    names = parts.select("p_name").distinct()
     names = names.withColumn("advocate_ord", F.row_number().over(Window.orderBy("p_name")) - 1)
     return names.select("advocate_ord", F.concat(F.char(F.lit(65) + F.col("advocate_ord") % 26), F.lit(". "), F.initcap("p_name")).alias("name"))
 
 
+@query(f"""
+WITH {N.scores(f"SELECT name FROM ({ROSTER})", f"SELECT name FROM ({PRINTED})")},
+hits AS (SELECT q_name, p_brand, p_partkey, c_name, round(core, 9) AS core, round(combined, 9) AS combined, state, {N.rank("core", "combined", "state", "false")} AS rank FROM ({PRINTED}) p JOIN scored ON p.name = c_name),
+best AS (SELECT *, row_number() OVER (PARTITION BY q_name, p_brand ORDER BY combined DESC, p_partkey) AS n FROM hits WHERE rank > 0)
+SELECT q_name AS advocate, p_brand, p_partkey, c_name AS printed, core, combined, state, ['none', 'weak', 'review', 'auto'][rank + 1] AS tier FROM best WHERE n = 1
+""")
 def roster_match(spark: SparkSession, sf: str) -> DataFrame:
     """For each roster name and brand the best printed name, with its tier."""
     parts = t(spark, sf, "part", "p_partkey", "p_name", "p_brand")
     roster, printed = part_roster(parts), perturbed_names(parts)
-    hits = printed.join(small(link_names(roster, printed.select(F.col("printed").alias("name")))), F.col("printed") == F.col("c_name"))
-    best = first_by(hits, ["q_name", "p_brand"], [F.desc("combined"), F.col("p_partkey")])
-    return best.select(F.col("q_name").alias("advocate"), "p_brand", "p_partkey", "printed", F.round("core", 9).alias("core"), F.round("combined", 9).alias("combined"), "state", tier_of(F.col("tier_rank")).alias("tier"))
-
+    links = link_names(roster, printed.select(F.col("printed").alias("name"))).withColumns({"core": F.round("core", 9), "combined": F.round("combined", 9)})
+    hits = printed.join(links, F.col("printed") == F.col("c_name"))
+    best = least_by(hits.withColumn("_d", -F.col("combined")), ["q_name", "p_brand"], ["_d", "p_partkey"], ["p_partkey", "printed", "core", "combined", "state", "tier_rank"], "h")
+    return best.select(F.col("q_name").alias("advocate"), "p_brand", "h.p_partkey", "h.printed", "h.core", "h.combined", "h.state", tier_of(F.col("h.tier_rank")).alias("tier"))
 
-QUERIES["roster_match"] = roster_match
 
 _NAME = "chr(65 + (p_partkey % 26)::INTEGER) || '. ' || upper(p_name) || CASE WHEN p_partkey % 3 = 0 THEN ' AND OTHERS' ELSE '' END"
 _WORDS = lambda words: "|".join(words)
@@ -121,21 +134,17 @@ def edit_ratios(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.select("p_brand", "a", "b", F.round(edit_ratio(F.col("a"), F.col("b")), 9).alias("ratio"))
 
 
-@query()
+@query(f"""
+WITH n AS (SELECT DISTINCT p_name AS name FROM part), w AS (SELECT name, unnest(string_split(name, ' ')) AS word FROM n),
+p AS (SELECT DISTINCT x.name AS a, y.name AS b FROM w x JOIN w y ON x.word = y.word AND x.name < y.name),
+{N.texts("SELECT a, b FROM p", "sim")}
+SELECT a, b, round(sim, 9) AS similarity FROM sim
+""")
 def text_similarities(spark: SparkSession, sf: str) -> DataFrame:
-    """Similarity of distinct part names by words; Jaro-Winkler has no equal in SQL, tests hold it against worked values."""
-    n = t(spark, sf, "part", "p_name").distinct()
-    return n.select(F.col("p_name").alias("a")).crossJoin(F.broadcast(n.select(F.col("p_name").alias("b")))).filter("a < b").withColumn("similarity", F.round(text_similarity(F.col("a"), F.col("b")), 9))
-
-
-def _initials_case() -> str:
-    near = sorted({p for m in (K.KEY_NEIGHBOURS, K.LOOKALIKES) for a, bs in m.items() for b in bs for p in (a + b, b + a)})
-    inside = lambda a, b: f"len(list_filter(string_split({a}, ''), lambda x: NOT contains({b}, x))) = 0"
-    diff = "list_filter(range(1, len(q) + 1), lambda i: substring(q, i, 1) <> substring(c, i, 1))"
-    return f"""CASE WHEN q = '' AND c = '' THEN 'both-absent' WHEN c = '' THEN 'absent-in-list' WHEN q = '' THEN 'absent-in-query' WHEN q = c THEN 'exact'
-    WHEN starts_with(q, c) OR starts_with(c, q) THEN 'partial' WHEN {inside("q", "c")} OR {inside("c", "q")} THEN 'subset'
-    WHEN len(q) = len(c) AND len({diff}) = 1 THEN CASE WHEN substring(q, ({diff})[1], 1) || substring(c, ({diff})[1], 1) IN ({", ".join(f"'{p}'" for p in near)}) THEN 'flip-plausible' ELSE 'flip-other' END
-    ELSE 'different' END"""
+    """Similarity of the distinct part names that share a word."""
+    w = t(spark, sf, "part", "p_name").distinct().select(F.col("p_name").alias("a"), F.explode(F.split("p_name", " ")).alias("word"))
+    pairs = w.join(w.withColumnRenamed("a", "b"), "word").filter("a < b").select("a", "b").distinct()
+    return pairs.withColumn("similarity", F.round(text_similarity(F.col("a"), F.col("b")), 9))
 
 
 _LETTERS = lambda a, b, c: f"CASE WHEN o_orderkey % 7 = {c} THEN '' ELSE chr(65 + ({a})::INTEGER) || CASE WHEN o_orderkey % 3 = 0 THEN chr(65 + ({b})::INTEGER) ELSE '' END END"
@@ -143,7 +152,7 @@ _LETTERS = lambda a, b, c: f"CASE WHEN o_orderkey % 7 = {c} THEN '' ELSE chr(65
 
 @query(f"""
 WITH l AS (SELECT o_orderkey, {_LETTERS("o_orderkey % 26", "o_custkey % 26", 0)} AS q, {_LETTERS("o_custkey % 26", "o_orderkey % 26", 1)} AS c FROM orders),
-s AS (SELECT *, {_initials_case()} AS state FROM l)
+s AS (SELECT *, {N.initials_case()} AS state FROM l)
 SELECT o_orderkey, q, c, state, CASE state {" ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in K.INITIALS_SCORES.items())} END AS score FROM s
 """)
 def initials_states(spark: SparkSession, sf: str) -> DataFrame:
@@ -196,80 +205,6 @@ def range_expand(spark: SparkSession, sf: str) -> DataFrame:
     return keys.select("o_orderkey", "case_key")
 
 
-@query("""
-WITH k AS (SELECT o_orderkey, 0 AS n, o_custkey % 500 AS key FROM orders UNION ALL SELECT o_orderkey, 1, o_custkey % 700 FROM orders),
-r AS (SELECT c_custkey % 600 AS key, min(c_custkey) AS c_custkey FROM customer GROUP BY 1),
-h AS (SELECT k.o_orderkey, k.n, k.key, r.c_custkey, row_number() OVER (PARTITION BY k.o_orderkey ORDER BY k.n) AS p FROM k JOIN r USING (key))
-SELECT o_orderkey, key AS matched_key, c_custkey AS register_row FROM h WHERE p = 1
-""")
-def register_join(spark: SparkSession, sf: str) -> DataFrame:
-    """The first of an item's keys that the register has, and the register's first row for it."""
-    keys = t(spark, sf, "orders", "o_orderkey", "o_custkey").select("o_orderkey", F.posexplode(F.array(F.col("o_custkey") % 500, F.col("o_custkey") % 700)).alias("n", "key"))
-    rows = t(spark, sf, "customer", "c_custkey").groupBy((F.col("c_custkey") % 600).alias("key")).agg(F.min("c_custkey").alias("row"))
-    return least_by(keys.join(small(rows), "key"), ["o_orderkey"], ["n"], ["key", "row"], "h").select("o_orderkey", F.col("h.key").alias("matched_key"), F.col("h.row").alias("register_row"))
-
-
-@query("""
-WITH n AS (SELECT DISTINCT upper(p_name) AS name FROM part), r AS (SELECT name AS q FROM n ORDER BY name LIMIT 20),
-s AS (SELECT q, name AS c, 1 - levenshtein(q, name) / greatest(length(q), length(name)) AS ratio FROM r JOIN n ON substring(q, 1, 1) = substring(name, 1, 1) AND q <> name),
-o AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY ratio DESC, c) AS p FROM s)
-SELECT q, c, round(ratio, 9) AS ratio FROM o WHERE p = 1
-""")
-def fuzzy_block_join(spark: SparkSession, sf: str) -> DataFrame:
-    """Each roster name's closest other name with the same first letter."""
-    n = t(spark, sf, "part", "p_name").select(F.upper("p_name").alias("c")).distinct().withColumn("b", F.substring("c", 1, 1))
-    q = n.orderBy("c").limit(20).withColumnRenamed("c", "q")
-    pairs = n.join(F.broadcast(q), "b").filter("q <> c").withColumn("r", edit_ratio(F.col("q"), F.col("c")))
-    return first_by(pairs, ["q"], [F.desc("r"), F.col("c")]).select("q", "c", F.round("r", 9).alias("ratio"))
-
-
-@query("""
-WITH s AS (SELECT l_orderkey, l_partkey, l_linenumber, l_extendedprice AS sim, lead(l_extendedprice, 1, 0.0) OVER w AS second, row_number() OVER w AS p
-  FROM lineitem WINDOW w AS (PARTITION BY l_partkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber))
-SELECT l_partkey, l_orderkey, l_linenumber, round(sim - second, 6) AS margin FROM s WHERE p = 1 AND sim - second >= 0.05 * sim
-""")
-def runner_up_margin(spark: SparkSession, sf: str) -> DataFrame:
-    """The best row of a part, where it clearly leads the second."""
-    li = t(spark, sf, "lineitem", "l_orderkey", "l_partkey", "l_linenumber", "l_extendedprice")
-    w = Window.partitionBy("l_partkey").orderBy(F.desc("l_extendedprice"), "l_orderkey", "l_linenumber")
-    out = li.withColumn("second", F.lead("l_extendedprice", 1, 0.0).over(w)).withColumn("p", F.row_number().over(w))
-    margin = F.col("l_extendedprice") - F.col("second")
-    return out.filter((F.col("p") == 1) & (margin >= 0.05 * F.col("l_extendedprice"))).select("l_partkey", "l_orderkey", "l_linenumber", F.round(margin, 6).alias("margin"))
-
-
-def _reposted(spark: SparkSession, sf: str) -> DataFrame:
-    return t(spark, sf, "lineitem", "l_orderkey", "l_returnflag").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey")).distinct()
-
-
-@query("SELECT o_orderkey, o_custkey FROM orders o WHERE EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l_returnflag = 'R')")
-def adjourn_semi(spark: SparkSession, sf: str) -> DataFrame:
-    return t(spark, sf, "orders", "o_orderkey", "o_custkey").join(_reposted(spark, sf), "o_orderkey", "left_semi")
-
-
-@query("SELECT o_orderkey, o_custkey FROM orders o WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l_returnflag = 'R')")
-def adjourn_anti(spark: SparkSession, sf: str) -> DataFrame:
-    return t(spark, sf, "orders", "o_orderkey", "o_custkey").join(_reposted(spark, sf), "o_orderkey", "left_anti")
-
-
-@query("""
-WITH n AS (SELECT o_orderkey, 0 AS k, o_custkey * 2 AS key FROM orders UNION ALL SELECT o_orderkey, 1, o_custkey + 1 FROM orders),
-seen AS (SELECT DISTINCT l_partkey AS key FROM lineitem WHERE l_returnflag = 'A' AND l_partkey % 3 = 0),
-h AS (SELECT n.*, c.c_custkey, s.s_suppkey, row_number() OVER (PARTITION BY o_orderkey ORDER BY k) AS p FROM n
-  LEFT JOIN customer c ON c.c_custkey = n.key LEFT JOIN supplier s ON s.s_suppkey = n.key
-  WHERE (c.c_custkey IS NOT NULL OR s.s_suppkey IS NOT NULL) AND NOT EXISTS (SELECT 1 FROM seen WHERE seen.key = n.key))
-SELECT o_orderkey, key, CASE WHEN c_custkey IS NOT NULL THEN 'register' ELSE 'ledger' END AS identified_from FROM h WHERE p = 1
-""")
-def notice_only(spark: SparkSession, sf: str) -> DataFrame:
-    """The first key of a notice that no match has and the register, or else the ledger, knows."""
-    n = t(spark, sf, "orders", "o_orderkey", "o_custkey").select("o_orderkey", F.posexplode(F.array(F.col("o_custkey") * 2, F.col("o_custkey") + 1)).alias("k", "key"))
-    seen = t(spark, sf, "lineitem", "l_partkey", "l_returnflag").filter("l_returnflag = 'A' and l_partkey % 3 = 0").select(F.col("l_partkey").alias("key")).distinct()
-    register = t(spark, sf, "customer", "c_custkey").select(F.col("c_custkey").alias("key"), F.lit(True).alias("r"))
-    ledger = t(spark, sf, "supplier", "s_suppkey").select(F.col("s_suppkey").alias("key"), F.lit(True).alias("l"))
-    n = n.join(seen, "key", "left_anti").join(register, "key", "left").join(ledger, "key", "left").filter("r or l")
-    n = n.withColumn("identified_from", F.when(F.col("r"), "register").otherwise("ledger"))
-    return least_by(n, ["o_orderkey"], ["k"], ["key", "identified_from"], "h").select("o_orderkey", "h.key", "h.identified_from")
-
-
 @query("SELECT l_orderkey, round(1 - product((1 - l_discount) * (1 - l_tax)) + 1e-12, 9) AS confidence FROM lineitem GROUP BY l_orderkey")
 def noisy_ors(spark: SparkSession, sf: str) -> DataFrame:
     li = t(spark, sf, "lineitem", "l_orderkey", "l_discount", "l_tax")
@@ -277,35 +212,6 @@ def noisy_ors(spark: SparkSession, sf: str) -> DataFrame:
     return li.groupBy("l_orderkey").agg(F.round(noisy_or(scores) + 1e-12, 9).alias("confidence"))
 
 
-@query("SELECT l_orderkey, count(DISTINCT l_suppkey) AS n FROM lineitem WHERE l_quantity >= 10 GROUP BY l_orderkey HAVING count(DISTINCT l_suppkey) >= 2")
-def cluster_signal(spark: SparkSession, sf: str) -> DataFrame:
-    """Items on which at least two distinct names are found."""
-    li = t(spark, sf, "lineitem", "l_orderkey", "l_suppkey", "l_quantity").filter("l_quantity >= 10")
-    return li.groupBy("l_orderkey").agg(F.count_distinct("l_suppkey").alias("n")).filter("n >= 2")
-
-
-@query("""
-WITH e AS (SELECT event_id, user_id, ts, CASE WHEN event_id % 3 = 0 THEN event_type END AS v FROM events)
-SELECT event_id, coalesce(last_value(v IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), '') AS filled, v IS NULL AS inherited FROM e
-""")
-def forward_fill(spark: SparkSession, sf: str) -> DataFrame:
-    """Blank values take the one above, and say so."""
-    e = t(spark, sf, "events", "event_id", "user_id", "ts", "event_type").withColumn("v", F.when(F.col("event_id") % 3 == 0, F.col("event_type")))
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return e.select("event_id", F.coalesce(F.last("v", ignorenulls=True).over(w), F.lit("")).alias("filled"), F.col("v").isNull().alias("inherited"))
-
-
-@query("""
-WITH e AS (SELECT event_id, user_id, ts, CASE WHEN event_id % 4 = 1 THEN year(ts) END AS v FROM events)
-SELECT event_id, coalesce(first_value(v IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0)::INTEGER AS filled FROM e
-""")
-def back_fill(spark: SparkSession, sf: str) -> DataFrame:
-    """Missing values take the next one that is there."""
-    e = t(spark, sf, "events", "event_id", "user_id", "ts").withColumn("v", F.when(F.col("event_id") % 4 == 1, F.year("ts")))
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(0, Window.unboundedFollowing)
-    return e.select("event_id", F.coalesce(F.first("v", ignorenulls=True).over(w), F.lit(0)).alias("filled"))
-
-
 @query("""
 WITH e AS (SELECT user_id, epoch_us(ts) / 1e6 AS at_s FROM events), g AS (SELECT *, coalesce((at_s - lag(at_s) OVER (PARTITION BY user_id ORDER BY at_s) > 86400)::INTEGER, 0) AS s FROM e),
 i AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY at_s ROWS UNBOUNDED PRECEDING) AS island FROM g)
@@ -318,28 +224,6 @@ def gap_islands(spark: SparkSession, sf: str) -> DataFrame:
     return i.groupBy("user_id", F.col("island").cast("long").alias("island")).agg(F.count("*").alias("members"), F.round(F.max("at") - F.min("at"), 3).alias("width"))
 
 
-@query("""
-WITH b AS (SELECT c_nationkey AS g, c_custkey AS item, c_acctbal AS bottom, c_acctbal + 20 AS top FROM customer),
-p AS (SELECT s_nationkey AS g, s_suppkey AS point, s_acctbal AS y FROM supplier),
-x AS (SELECT point, item, y <= top + 1 AND y >= bottom - 1 AS inside, CASE WHEN y <= top + 1 AND y >= bottom - 1 THEN 0 WHEN y > top THEN y - top ELSE bottom - y END AS gap FROM p JOIN b USING (g)),
-r AS (SELECT *, row_number() OVER (PARTITION BY point ORDER BY inside DESC, gap, item) AS n FROM x)
-SELECT point, item, inside, round(gap, 6) AS gap FROM r WHERE n = 1 AND gap <= 40
-""")
-def nearest_interval(spark: SparkSession, sf: str) -> DataFrame:
-    """The band that holds a point, else the nearest within 40."""
-    b = t(spark, sf, "customer", "c_custkey", "c_nationkey", "c_acctbal").select(F.col("c_nationkey").alias("g"), F.col("c_custkey").alias("item"), F.col("c_acctbal").alias("bottom"), (F.col("c_acctbal") + 20).alias("top"))
-    p = t(spark, sf, "supplier", "s_suppkey", "s_nationkey", "s_acctbal").select(F.col("s_nationkey").alias("g"), F.col("s_suppkey").alias("point"), F.col("s_acctbal").alias("y"))
-    # Buckets of 40 make the search an equi-join: a band within reach lies in a point's bucket or a neighbour's.
-    width = 40.0
-    bucket = lambda c: F.floor(c / width)
-    bands = b.withColumn("k", F.explode(F.sequence(bucket(F.col("bottom") - width), bucket(F.col("top") + width))))
-    x = p.withColumn("k", bucket(F.col("y"))).join(bands, ["g", "k"])
-    inside = (F.col("y") <= F.col("top") + 1) & (F.col("y") >= F.col("bottom") - 1)
-    gap = F.when(inside, 0.0).when(F.col("y") > F.col("top"), F.col("y") - F.col("top")).otherwise(F.col("bottom") - F.col("y"))
-    x = x.withColumns({"inside": inside, "gap": gap}).filter("gap <= 40")
-    return first_by(x, ["point"], [F.desc("inside"), F.col("gap"), F.col("item")]).select("point", "item", "inside", F.round("gap", 6).alias("gap"))
-
-
 @query("""
 WITH f AS (SELECT item_id, unnest(regexp_split_to_array(text, '[,;|]|\\s{3,}|\\d{3,}')) AS s FROM benchmark),
 w AS (SELECT item_id, list_filter(regexp_split_to_array(s, '\\s+'), lambda x: x <> '') AS k FROM f),
@@ -351,20 +235,6 @@ def ngram_windows(spark: SparkSession, sf: str) -> DataFrame:
     return t(spark, sf, "benchmark", "item_id", "text").select("item_id", F.explode(name_windows(F.col("text"), 3)).alias("run")).groupBy("item_id", "run").agg(F.count("*").alias("n"))
 
 
-@query("""
-WITH c AS (SELECT p_brand, p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_name || ' through Thiru. X' WHEN 1 THEN p_name || ' rep. by M/s.Y' WHEN 2 THEN 'Z for R1 ' || p_name ELSE p_name || ' throughout' END AS s FROM part),
-h AS (SELECT p_brand, regexp_matches(s, '(through Thiru|rep\\. by M)') AS pf, regexp_matches(s, '\\bfor R\\d') AS cf FROM c)
-SELECT p_brand, count(*) AS cells, count_if(pf)::BIGINT AS pf, count_if(NOT pf AND cf)::BIGINT AS cf, round(greatest(count_if(pf), count_if(NOT pf AND cf)) / count(*), 9) AS density FROM h GROUP BY p_brand
-""")
-def connector_probe(spark: SparkSession, sf: str) -> DataFrame:
-    """How many cells of a group join a party to its counsel; a word that only begins like a connector is none."""
-    kind = F.col("p_partkey") % 4
-    s = F.when(kind == 0, F.concat("p_name", F.lit(" through Thiru. X"))).when(kind == 1, F.concat("p_name", F.lit(" rep. by M/s.Y"))).when(kind == 2, F.concat(F.lit("Z for R1 "), "p_name")).otherwise(F.concat("p_name", F.lit(" throughout")))
-    first = s.rlike(K.PARTY_FIRST)
-    out = t(spark, sf, "part", "p_partkey", "p_brand", "p_name").groupBy("p_brand").agg(F.count("*").alias("cells"), F.count_if(first).alias("pf"), F.count_if(~first & s.rlike(K.COUNSEL_FIRST)).alias("cf"))
-    return out.withColumn("density", F.round(F.greatest("pf", "cf") / F.col("cells"), 9))
-
-
 @query(f"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS s FROM documents), s AS (SELECT doc_id, trim(s) AS s FROM l)
 SELECT doc_id, count(*) AS lines, count_if(s = '' OR regexp_full_match(s, '-+') OR regexp_matches(s, '\\d{{4,}}') OR regexp_matches(upper(s), '\\b({_WORDS(K.NOISE_WORDS)})\\b') OR length(s) > {K.NAME_MAX_CHARS})::BIGINT AS noise FROM s GROUP BY doc_id
@@ -375,47 +245,6 @@ def noise_filter(spark: SparkSession, sf: str) -> DataFrame:
     return lines.groupBy("doc_id").agg(F.count("*").alias("lines"), F.count_if(is_noise(F.col("s"))).alias("noise"))
 
 
-@query("""
-WITH k AS (SELECT p_partkey, p_name, regexp_replace(upper(p_name), '[^A-Z]', '', 'g') AS k FROM part), r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY p_partkey) AS n FROM k)
-SELECT p_partkey, p_name, k AS person FROM r WHERE n = 1
-""")
-def dedupe_first(spark: SparkSession, sf: str) -> DataFrame:
-    """The first row of each normalised name."""
-    p = t(spark, sf, "part", "p_partkey", "p_name").withColumn("person", letters(F.col("p_name")))
-    return least_by(p, ["person"], ["p_partkey"], ["p_partkey", "p_name"], "h").select("h.p_partkey", "h.p_name", "person")
-
-
-@query("""
-SELECT n_name, r_name, count(*) AS customers, count(DISTINCT c_mktsegment) AS segments, round(sum(c_acctbal), 2) AS balance FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY n_name, r_name
-""")
-def view_by_group(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows by group and subgroup; both dimensions are fixed and small."""
-    c = t(spark, sf, "customer").join(F.broadcast(t(spark, sf, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(t(spark, sf, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
-    return c.groupBy("n_name", "r_name").agg(F.count("*").alias("customers"), F.count_distinct("c_mktsegment").alias("segments"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
-
-
-@query("""
-SELECT l_orderkey, string_agg(s, ', ' ORDER BY s) AS advocates, min(l_linenumber) AS first_line FROM (SELECT l_orderkey, 's' || l_suppkey AS s, min(l_linenumber) AS l_linenumber FROM lineitem GROUP BY 1, 2) GROUP BY l_orderkey
-""")
-def view_by_case(spark: SparkSession, sf: str) -> DataFrame:
-    """A row per item with all its names in one cell."""
-    li = t(spark, sf, "lineitem", "l_orderkey", "l_suppkey", "l_linenumber")
-    names = F.array_join(F.array_sort(F.collect_set(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")))), ", ")
-    return li.groupBy("l_orderkey").agg(names.alias("advocates"), F.min("l_linenumber").alias("first_line"))
-
-
-@query("""
-WITH d AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem)
-SELECT a.l_orderkey, a.l_suppkey, coalesce(string_agg(b.l_suppkey::VARCHAR, ',' ORDER BY b.l_suppkey), '') AS also_under FROM d a LEFT JOIN d b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey <> b.l_suppkey GROUP BY 1, 2
-""")
-def also_under(spark: SparkSession, sf: str) -> DataFrame:
-    """Each name on an item with the others on it."""
-    d = t(spark, sf, "lineitem", "l_orderkey", "l_suppkey").distinct()
-    everyone = F.array_sort(F.collect_set("l_suppkey").over(Window.partitionBy("l_orderkey")))
-    d = d.withColumn("every", everyone)
-    return d.select("l_orderkey", "l_suppkey", F.array_join(F.transform(F.array_remove("every", F.col("l_suppkey")), lambda s: s.cast("string")), ",").alias("also_under"))
-
-
 @query("""
 WITH i AS (SELECT p_partkey, p_brand, CASE p_partkey % 5 WHEN 0 THEN '' WHEN 1 THEN (p_size || 'A') WHEN 2 THEN '0' ELSE p_size::VARCHAR END AS item FROM part),
 o AS (SELECT *, coalesce(nullif(try_cast(regexp_extract(item, '^\\s*(\\d+)', 1) AS BIGINT), 0), 1000000000) AS k FROM i)
@@ -430,55 +259,6 @@ def natural_sort(spark: SparkSession, sf: str) -> DataFrame:
     return p.select("p_partkey", "item_order", F.row_number().over(Window.partitionBy("p_brand").orderBy("item_order", "p_partkey")).alias("place"))
 
 
-@query("""
-WITH a AS (SELECT DISTINCT o_custkey AS k FROM orders), b AS (SELECT DISTINCT c_custkey AS k FROM customer WHERE c_acctbal > 0)
-SELECT (SELECT count(*) FROM a) AS listed, (SELECT count(*) FROM b) AS noticed, (SELECT count(*) FROM (SELECT * FROM a INTERSECT SELECT * FROM b)) AS both_have, (SELECT count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b)) AS only_listed
-""")
-def key_overlap(spark: SparkSession, sf: str) -> DataFrame:
-    """Keys of two sets, in both, and in one alone."""
-    a = t(spark, sf, "orders", "o_custkey").select(F.col("o_custkey").alias("k")).distinct().withColumn("a", F.lit(True))
-    b = t(spark, sf, "customer", "c_custkey", "c_acctbal").filter("c_acctbal > 0").select(F.col("c_custkey").alias("k"), F.lit(True).alias("b"))
-    return a.join(b, "k", "full").agg(F.count("a").alias("listed"), F.count("b").alias("noticed"), F.count_if(F.col("a") & F.col("b")).alias("both_have"), F.count_if(F.col("a") & F.col("b").isNull()).alias("only_listed"))
-
-
-@query("""
-SELECT 'matched' AS kind, o_orderkey AS id, o_orderpriority AS priority, NULL::VARCHAR AS reposted FROM orders
-UNION ALL BY NAME SELECT 'adjourned' AS kind, s_suppkey AS id, s_name AS reposted FROM supplier
-""")
-def export_union(spark: SparkSession, sf: str) -> DataFrame:
-    """Two tables of different columns as one."""
-    a = t(spark, sf, "orders").select(F.lit("matched").alias("kind"), F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("priority"))
-    b = t(spark, sf, "supplier").select(F.lit("adjourned").alias("kind"), F.col("s_suppkey").alias("id"), F.col("s_name").alias("reposted"))
-    return a.unionByName(b, allowMissingColumns=True)
-
-
-@query("""
-WITH m AS (SELECT d.doc_id, CASE d.doc_id % 3 WHEN 0 THEN 'auto' WHEN 1 THEN 'review' ELSE 'weak' END AS tier, l.quality FROM documents d LEFT JOIN labels l USING (doc_id))
-SELECT doc_id, CASE WHEN quality = 1 AND tier = 'review' THEN 'auto' ELSE tier END AS tier, quality IS NOT NULL AS remembered FROM m WHERE coalesce(quality, 1) <> 0
-""")
-def memory_apply(spark: SparkSession, sf: str) -> DataFrame:
-    """Remembered decisions: yes lifts review to auto, no drops the row."""
-    kind = F.col("doc_id") % 3
-    d = t(spark, sf, "documents", "doc_id").withColumn("tier", F.when(kind == 0, "auto").when(kind == 1, "review").otherwise("weak"))
-    m = d.join(t(spark, sf, "labels", "doc_id", "quality"), "doc_id", "left").filter(F.coalesce("quality", F.lit(1)) != 0)
-    return m.select("doc_id", F.when((F.col("quality") == 1) & (F.col("tier") == "review"), "auto").otherwise(F.col("tier")).alias("tier"), F.col("quality").isNotNull().alias("remembered"))
-
-
-@query("""
-WITH e AS (SELECT user_id, event_id, ts, CASE WHEN event_id % 3 = 0 THEN event_type END AS title, strftime(ts, '%Y-%m') AS month FROM events),
-m AS (SELECT user_id, month, min((ts, event_id)) AS f FROM e GROUP BY 1, 2), d AS (SELECT user_id, string_agg(month, ',' ORDER BY f) AS dates FROM m GROUP BY 1)
-SELECT e.user_id, coalesce(arg_min(title, (ts, event_id)) FILTER (WHERE title IS NOT NULL), '') AS title, any_value(dates) AS dates, count(*) AS seen FROM e JOIN d USING (user_id) GROUP BY e.user_id
-""")
-def ledger_merge(spark: SparkSession, sf: str) -> DataFrame:
-    """Per matter the first title that is given and the distinct dates in the order of first sight."""
-    e = t(spark, sf, "events", "user_id", "event_id", "ts", "event_type")
-    at = F.struct("ts", "event_id")
-    title = F.when(F.col("event_id") % 3 == 0, F.col("event_type"))
-    months = e.groupBy("user_id", F.date_format("ts", "yyyy-MM").alias("month")).agg(F.min(at).alias("f"), F.count("*").alias("n"), F.min(F.when(title.isNotNull(), F.struct(at.alias("a"), title.alias("t")))).alias("t"))
-    dates = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("f", "month"))), lambda m: m["month"]), ",")
-    return months.groupBy("user_id").agg(F.coalesce(F.min("t")["t"], F.lit("")).alias("title"), dates.alias("dates"), F.sum("n").alias("seen"))
-
-
 @query("""
 WITH m AS (SELECT user_id, date_diff('second', max(ts), TIMESTAMP '2026-01-01') // 86400 AS days FROM events GROUP BY user_id)
 SELECT user_id, days::INTEGER AS days, CASE WHEN days >= 45 THEN 'red' WHEN days >= 14 THEN 'amber' ELSE 'ok' END AS level FROM m
@@ -490,17 +270,6 @@ def staleness(spark: SparkSession, sf: str) -> DataFrame:
     return e.select("user_id", a["days"].alias("days"), a["level"].alias("level"))
 
 
-@query("""
-WITH c AS (SELECT conv_id, turn, role, text, sum((role = 'user')::INTEGER) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS item FROM conversations)
-SELECT conv_id, item::BIGINT AS item, count(*) AS lines, sum(length(text))::BIGINT AS chars, bool_or(role = 'assistant') AS answered FROM c WHERE item > 0 GROUP BY conv_id, item
-""")
-def item_segmentation(spark: SparkSession, sf: str) -> DataFrame:
-    """Lines in order, cut into items where one opens."""
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    c = t(spark, sf, "conversations", "conv_id", "turn", "role", "text").withColumn("item", F.sum((F.col("role") == "user").cast("int")).over(w)).filter("item > 0")
-    return c.groupBy("conv_id", "item").agg(F.count("*").alias("lines"), F.sum(F.length("text")).cast("long").alias("chars"), F.bool_or(F.col("role") == "assistant").alias("answered"))
-
-
 @query("""
 SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE strftime(o_orderdate, '%Y-%m-%d') END AS iso FROM orders
 """)
@@ -521,13 +290,5 @@ def highlights(spark: SparkSession, sf: str) -> DataFrame:
     return b.select("item_id", F.size("s").cast("long").alias("places"), F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + x["start"]).alias("starts"))
 
 
-@query("""
-SELECT count(*) AS items, count_if(o_orderpriority = '1-URGENT')::BIGINT AS auto, count_if(o_orderpriority = '2-HIGH')::BIGINT AS review, count(DISTINCT coalesce(o_orderstatus, '∅')) AS courts FROM orders
-""")
-def tier_counts(spark: SparkSession, sf: str) -> DataFrame:
-    o = t(spark, sf, "orders", "o_orderpriority", "o_orderstatus")
-    return o.agg(F.count("*").alias("items"), F.count_if(F.col("o_orderpriority") == "1-URGENT").alias("auto"), F.count_if(F.col("o_orderpriority") == "2-HIGH").alias("review"), F.count_distinct(F.coalesce("o_orderstatus", F.lit("∅"))).alias("courts"))
-
-
-def entry(spark: SparkSession) -> DataFrame:
-    return roster_match(spark, "/root/testdata/sf0.001")
+def entry(spark: SparkSession, sf: str) -> DataFrame:
+    return roster_match(spark, sf)

@@ -96,7 +96,7 @@ def profile_json(store: Store) -> str:
 def load_profile_json(store: Store, text: str) -> None:
     data = json.loads(text)
     if data.get("marker") != MARKER:
-        raise ValueError("This is not a saved profile.")
+        raise ValueError("Not a profile: the marker is missing.")
     for k, schema in {"ledger": LEDGER, "memory": MEMORY}.items():
         names = [f.split()[0] for f in schema.split(", ")]
         store.put(k, store.spark.createDataFrame([tuple(r.get(n) for n in names) for r in data.get(k, [])], schema))

@@ -4,9 +4,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
-from tallyline.plans import catalogue
+from tallyline.plans import catalogue, listings
 
 SF = "/root/testdata/sf0.001"
+QUERIES, SQL = catalogue.QUERIES | listings.QUERIES, catalogue.SQL | listings.SQL
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -18,15 +19,15 @@ def tables():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, tables, tmp_path, name):
-    got = catalogue.QUERIES[name](spark, SF)
+    got = QUERIES[name](spark, SF)
     got.write.parquet(f"{tmp_path}/got")
-    if name not in catalogue.SQL:
+    if name not in SQL:
         assert spark.read.parquet(f"{tmp_path}/got").count() > 0
         return
     cols = ", ".join(f'"{c}"' for c in sorted(got.columns))
-    a, b = f"SELECT {cols} FROM '{tmp_path}/got/*.parquet'", f"SELECT {cols} FROM ({catalogue.SQL[name]})"
+    a, b = f"SELECT {cols} FROM '{tmp_path}/got/*.parquet'", f"SELECT {cols} FROM ({SQL[name]})"
     rows = lambda q: tables.sql(q).fetchall()
     assert rows(f"SELECT * FROM (({a}) EXCEPT ALL ({b})) LIMIT 3") == [] and rows(f"SELECT * FROM (({b}) EXCEPT ALL ({a})) LIMIT 3") == []
 

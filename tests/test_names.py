@@ -91,7 +91,7 @@ def test_initials(spark):
     assert {(r["q"], r["c"]): r["s"] for r in rows} == cases
     notes = {(r["q"], r["c"]): r["note"] for r in rows}
     assert notes["E", "E"] is None and all(len(n) > 20 for k, n in notes.items() if k != ("E", "E"))
-    assert "keyboard" in notes["E", "R"] and "mistaken" in notes["E", "F"]
+    assert "keys" in notes["E", "R"] and "look alike" in notes["E", "F"]
 
 
 def test_noisy_or_and_tiers(spark):

@@ -69,7 +69,7 @@ def test_views_and_exports(results):
     assert halls == sorted(halls, key=lambda x: (x[0], int(x[1])))
     rows = results["export_rows"].collect()
     p19 = next(r for r in rows if r["item_id"] == "P19")
-    assert p19["MatchRole"] == "Matched on the case number — no advocate name readable" and p19["DiaryNo"] == "B045" and p19["Register"]["Register: DiaryNo"] == "B045"
+    assert p19["MatchRole"] == "Found by case number; no name could be read" and p19["DiaryNo"] == "B045" and p19["Register"]["Register: DiaryNo"] == "B045"
     n = results["counts"].first()
     assert n["auto"] + n["review"] + n["weak"] == len(rows) and n["courts"] == 3 and n["adjourned"] == 0
     summary = {r["name"]: r["value"] for r in results["export_summary"].collect()}
@@ -83,7 +83,7 @@ def test_evidence(results):
     rows = {r["field"]: r for r in ev["P13"]["evidence"]}
     assert list(rows) == ["caseNumber", "cnr", "causeTitle", "parties", "advocate", "side", "nextStage"]
     assert rows["caseNumber"]["verdict"] == "absent" and rows["caseNumber"]["in_register"] == "Not in your register"
-    assert "no initial" in rows["advocate"]["note"]
+    assert "No initial" in rows["advocate"]["note"]
     assert {r["field"]: r["verdict"] for r in ev["P05"]["evidence"]}["advocate"] == "differ"
     assert [(s["start"], s["end"]) for s in ev["P13"]["highlight_spans"]]
     some = {(r["item_id"], r["advocate"]): r["colleagues"] for r in results["colleagues"].collect()}
@@ -102,7 +102,7 @@ def test_adjournments(spark, inputs, matches):
     assert only == {"WP/7777/2026": "register", "XX/5/2021": "ledger"}
     assert out["counts"].first()["adjourned"] == 4 + 1 + 2
     export = out["export_adjourned"].collect()
-    assert {r["CaseNumber"] for r in export if r["Adjourned"].endswith("you loaded")} == set(only)
+    assert {r["CaseNumber"] for r in export if r["Adjourned"].endswith("was loaded")} == set(only)
     assert out["notes"].count() == 0
 
 
