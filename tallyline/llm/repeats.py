@@ -31,10 +31,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyline.llm._bytes import NOT_SPACE, covered, joined, mixed, ragged, slices, spans, wide_windows, winnow, within, word_hashes, words
-from tallyline.llm._frames import short_batches
+from tallyline.llm._frames import row_key, short_batches
 from tallyline.llm.columns import repeated_windows
 
-BLOB = "kind int, part int, id binary, th binary, shard binary, n binary, v binary"
+BLOB = "kind int, part int, id binary, key binary, n binary, v binary"
 _NAMES = [x.split()[0] for x in BLOB.split(", ")]
 SEED = np.dtype([("h", "<u8"), ("c", "<u8"), ("x", "<u4"), ("at", "<u4"), ("m", "u1")])
 VERDICT = np.dtype([("at", "<u4"), ("f", "u1")])
@@ -104,8 +104,8 @@ def seeds(rule: Rule, sym: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.nd
     return h[at], c, (x >> np.uint64(32)).astype(np.uint32), doc, at - o[doc]
 
 
-def packed(kind: int, part: np.ndarray, doc: np.ndarray, v: np.ndarray, ids: np.ndarray, th: np.ndarray, shard: np.ndarray) -> list[tuple]:
-    """A blob row per part; entries of one document stand together."""
+def packed(kind: int, part: np.ndarray, doc: np.ndarray, v: np.ndarray, key: np.ndarray, ids: np.ndarray | None = None) -> list[tuple]:
+    """A blob row per part; entries of one document stand together, with its key, and its id where that is needed."""
     if not len(v):
         return []
     order = np.lexsort((doc, part))
@@ -114,21 +114,21 @@ def packed(kind: int, part: np.ndarray, doc: np.ndarray, v: np.ndarray, ids: np.
     edges = np.append(np.flatnonzero(np.diff(part, prepend=part[0] - 1)), len(part))
     for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
         d, n = np.unique(doc[a:b], return_counts=True)
-        out.append((kind, int(part[a]), ids[d].tobytes(), th[d].tobytes(), shard[d].tobytes(), n.astype("<i4").tobytes(), v[a:b].tobytes()))
+        out.append((kind, int(part[a]), b"" if ids is None else ids[d].tobytes(), key[d].tobytes(), n.astype("<i4").tobytes(), v[a:b].tobytes()))
     return out
 
 
 def blobs(rows: list[tuple]) -> pa.Table:
     cols = list(zip(*rows, strict=True)) if rows else [[]] * len(_NAMES)
-    kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 5]
+    kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 4]
     return pa.table([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], _NAMES)
 
 
-def unpacked(t: pa.Table, dtype: np.dtype) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """ids, hashes and shards of documents, the document of each entry, and the entries."""
+def unpacked(t: pa.Table, dtype: np.dtype) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys and ids (zeros if not sent) of documents, the document of each entry, and the entries."""
     get = lambda k, d: np.concatenate([np.zeros(0, d), *[np.frombuffer(x, d) for x in t.column(k).to_pylist()]])
-    n = get("n", "<i4")
-    return get("id", "<i8"), get("th", "<i8"), get("shard", "<i4"), np.repeat(np.arange(len(n)), n), get("v", dtype)
+    n, ids, key = get("n", "<i4"), get("id", "<i8"), get("key", "<i8")
+    return key, ids if len(ids) else np.zeros(len(key), np.int64), np.repeat(np.arange(len(n)), n), get("v", dtype)
 
 
 def groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -166,19 +166,15 @@ def judged(rule: Rule, g: np.ndarray, count: int, ids: np.ndarray, m: np.ndarray
     return total[g] > 1, first_of(g)
 
 
-def doc_keys(ids: np.ndarray, th: np.ndarray) -> np.ndarray:
-    return mixed(ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ th.view(np.uint64))
-
-
-def _columns(t: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return np.asarray(t.column("id")).astype(np.int64), np.asarray(t.column("th")).astype(np.int64), np.asarray(t.column("shard")).astype(np.int32)
+def _columns(t: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    return np.asarray(t.column("key")).astype(np.int64), np.asarray(t.column("id")).astype(np.int64)
 
 
 def seed_entries(rule: Rule, parts: int) -> Callable:
     """Texts to seed entries, by bucket, and the verdicts that texts sent together give by themselves, by shard."""
 
     def flush(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        ids, th, shard, h, c, x, at, size = (np.concatenate(k) for k in zip(*held, strict=True))
+        key, ids, h, c, x, at, size = (np.concatenate(k) for k in zip(*held, strict=True))
         doc = np.repeat(np.arange(len(size)), size)
         g, count = groups(h, c, x)
         repeat, delegate = judged(rule, g, count, ids[doc], np.ones(len(g), np.int64))
@@ -186,7 +182,7 @@ def seed_entries(rule: Rule, parts: int) -> Callable:
         common = n[gh] > MANY
         told = np.zeros(int(repeat.sum()), VERDICT)
         told["at"], told["f"] = at[repeat], SETTLED
-        rows = packed(TOLD, shard[doc[repeat]], doc[repeat], told, ids, th, shard)
+        rows = packed(TOLD, key[doc[repeat]] % parts, doc[repeat], told, key)
         mark = first_of(gh) & common
         sent = np.concatenate([np.flatnonzero(delegate), np.flatnonzero(mark)])
         v = np.zeros(len(sent), SEED)
@@ -196,16 +192,16 @@ def seed_entries(rule: Rule, parts: int) -> Callable:
         v["m"][int(delegate.sum()) :] = MARK
         own = (v["m"] & SPREAD) > 0
         to = np.where(own, joined(v["h"], v["c"]), v["h"]) % np.uint64(parts)
-        yield from blobs(rows + packed(ENTRIES, to.astype(np.int64), doc[sent], v, ids, th, shard)).combine_chunks().to_batches()
+        yield from blobs(rows + packed(ENTRIES, to.astype(np.int64), doc[sent], v, key, ids if rule.smaller else None)).combine_chunks().to_batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for batch in batches:
-            ids, th, shard = _columns(batch)
+            key, ids = _columns(batch)
             for a, b, buf, offsets in slices(batch.column("text")):
                 h, c, x, doc, at = seeds(rule, *symbols(rule, buf, offsets))
                 some, size = np.unique(doc, return_counts=True)
-                held.append((ids[a:b][some], th[a:b][some], shard[a:b][some], h, c, x, at, size))
+                held.append((key[a:b][some], ids[a:b][some], h, c, x, at, size))
                 n += len(h)
                 if n >= FLUSH:
                     yield from flush(held)
@@ -216,13 +212,13 @@ def seed_entries(rule: Rule, parts: int) -> Callable:
     return run
 
 
-def joined_seeds(rule: Rule) -> Callable:
+def joined_seeds(rule: Rule, parts: int) -> Callable:
     """A bucket of seed entries to verdicts by shard; verdicts pass."""
 
     def run(t: pa.Table) -> pa.Table:
         if not t.num_rows or t.column("kind")[0].as_py() == TOLD:
             return t
-        ids, th, shard, doc, v = unpacked(t, SEED)
+        key, ids, doc, v = unpacked(t, SEED)
         marks = (v["m"] & MARK) > 0
         marked = np.unique(v["h"][marks])
         doc, v = doc[~marks], v[~marks]
@@ -235,7 +231,7 @@ def joined_seeds(rule: Rule) -> Callable:
         keep = (f & (SETTLED | EXTEND)) > 0
         told = np.zeros(int(keep.sum()), VERDICT)
         told["at"], told["f"] = v["at"][keep], f[keep]
-        return blobs(packed(TOLD, shard[doc[keep]], doc[keep], told, ids, th, shard))
+        return blobs(packed(TOLD, key[doc[keep]] % parts, doc[keep], told, key))
 
     return run
 
@@ -258,13 +254,13 @@ def runs_of(flags: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return np.searchsorted(o, s, "right") - 1, s, e
 
 
-def by_text(ids: np.ndarray, th: np.ndarray, table: pa.Table, dtype: np.dtype) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def by_text(key: np.ndarray, table: pa.Table, dtype: np.dtype) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The entries of a shard in order of their text's key, and the first and last + 1 of each text."""
-    rid, rth, _, rdoc, v = unpacked(table, dtype)
-    key, rkey = doc_keys(ids, th), doc_keys(rid, rth)[rdoc]
-    order = np.argsort(rkey, kind="stable")
-    rkey = rkey[order]
-    return v[order], np.searchsorted(rkey, key, "left"), np.searchsorted(rkey, key, "right")
+    theirs, _, doc, v = unpacked(table, dtype)
+    theirs = theirs[doc]
+    order = np.argsort(theirs, kind="stable")
+    theirs = theirs[order]
+    return v[order], np.searchsorted(theirs, key, "left"), np.searchsorted(theirs, key, "right")
 
 
 def stretches(rule: Rule, sym: np.ndarray, at: np.ndarray, lo: np.ndarray, hi: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -285,8 +281,9 @@ def extended(rule: Rule, parts: int) -> Callable:
     def run(texts: pa.Table, verdicts: pa.Table) -> pa.Table:
         if not texts.num_rows or not verdicts.num_rows:
             return blobs([])
-        ids, th, shard = _columns(texts)
-        v, first, last = by_text(ids, th, verdicts, VERDICT)
+        key, ids = _columns(texts)
+        sent = ids if rule.smaller else None
+        v, first, last = by_text(key, verdicts, VERDICT)
         out: list[tuple] = []
         held: list[tuple] = []
         for a, b, buf, offsets in slices(texts.column("text")):
@@ -301,10 +298,10 @@ def extended(rule: Rule, parts: int) -> Callable:
             d, s, e = runs_of(spread(lo[settled], hi[settled], len(sym)), o)
             r = np.zeros(len(s), RUN)
             r["a"], r["b"] = s - o[d], e - o[d]
-            out += packed(TOLD, shard[d + a], d + a, r, ids, th, shard)
+            out += packed(TOLD, key[d + a] % parts, d + a, r, key)
             whole = ((told["f"] & EXTEND) > 0) & ((told["f"] & COMMON) == 0)
             w = stretches(rule, sym, at[whole], lo[whole], hi[whole], told["at"][whole])
-            out += packed(ENTRIES, (w["h"] % np.uint64(parts)).astype(np.int64), doc[whole] + a, w, ids, th, shard)
+            out += packed(ENTRIES, (w["h"] % np.uint64(parts)).astype(np.int64), doc[whole] + a, w, key, sent)
             single = (told["f"] & (EXTEND | COMMON)) == EXTEND | COMMON
             if single.any():
                 open_ = np.flatnonzero(spread(lo[single], hi[single] - rule.length + 1, len(sym)))
@@ -321,16 +318,16 @@ def extended(rule: Rule, parts: int) -> Callable:
             repeat, delegate = judged(rule, g, count, ids[doc], np.ones(len(g), np.int64))
             r = np.zeros(int(repeat.sum()), RUN)
             r["a"], r["b"] = at[repeat], at[repeat] + rule.length
-            out += packed(TOLD, shard[doc[repeat]], doc[repeat], r, ids, th, shard)
+            out += packed(TOLD, key[doc[repeat]] % parts, doc[repeat], r, key)
             w = np.zeros(int(delegate.sum()), WINDOW)
             w["h"], w["x"], w["at"], w["m"] = h[delegate], x[delegate], at[delegate], np.where(repeat[delegate], 2, 1)
-            out += packed(WINDOWS, (h[delegate] % np.uint64(parts)).astype(np.int64), doc[delegate], w, ids, th, shard)
+            out += packed(WINDOWS, (h[delegate] % np.uint64(parts)).astype(np.int64), doc[delegate], w, key, sent)
         return blobs(out)
 
     return run
 
 
-def joined_contexts(rule: Rule) -> Callable:
+def joined_contexts(rule: Rule, parts: int) -> Callable:
     """A bucket of contexts, or of windows, to runs by shard; runs pass."""
 
     def run(t: pa.Table) -> pa.Table:
@@ -338,18 +335,18 @@ def joined_contexts(rule: Rule) -> Callable:
         if kind == TOLD:
             return t
         if kind == WINDOWS:
-            ids, th, shard, doc, w = unpacked(t, WINDOW)
+            key, ids, doc, w = unpacked(t, WINDOW)
             g, count = groups(w["h"], w["x"])
             repeat, _ = judged(rule, g, count, ids[doc], w["m"])
             r = np.zeros(int(repeat.sum()), RUN)
             r["a"] = w["at"][repeat]
             r["b"] = r["a"] + rule.length
-            return blobs(packed(TOLD, shard[doc[repeat]], doc[repeat], r, ids, th, shard))
-        ids, th, shard, doc, w = unpacked(t, rule.stretch)
+            return blobs(packed(TOLD, key[doc[repeat]] % parts, doc[repeat], r, key))
+        key, ids, doc, w = unpacked(t, rule.stretch)
         rows, first, last = repeated_windows(groups(w["h"], w["x"])[0], w["l"], w["nl"], w["r"], w["nr"], ids[doc] if rule.smaller else None)
         r = np.zeros(len(rows), RUN)
         r["a"], r["b"] = w["at"][rows] - last, w["at"][rows] - first + rule.length
-        return blobs(packed(TOLD, shard[doc[rows]], doc[rows], r, ids, th, shard))
+        return blobs(packed(TOLD, key[doc[rows]] % parts, doc[rows], r, key))
 
     return run
 
@@ -358,8 +355,7 @@ def kept(rule: Rule) -> Callable:
     """A shard's texts and runs to the result."""
 
     def run(texts: pa.Table, runs: pa.Table) -> pa.Table:
-        ids, th, _ = _columns(texts)
-        r, first, last = by_text(ids, th, runs, RUN)
+        r, first, last = by_text(_columns(texts)[0], runs, RUN)
         ra, rb = r["a"].astype(np.int64), r["b"].astype(np.int64)
         size, spans, rest = [], [], []
         for a, b, buf, offsets in slices(texts.column("text")):
@@ -400,10 +396,10 @@ def without_repeats(docs: DataFrame, rule: Rule, id_col: str, text_col: str) ->
     short_batches(spark)
     stored = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # as stored; unknown is very large
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-stored // (PART_MB << 20)) if stored < 1 << 60 else 0)
-    text = F.col(text_col)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
-    docs = docs.withColumn("shard", F.pmod(F.xxhash64("id", "th"), F.lit(parts)).cast("int"))  # both groupings below are of this frame, so that its exchange is used twice
-    told = docs.mapInArrow(seed_entries(rule, parts), BLOB).groupBy("kind", "part").applyInArrow(joined_seeds(rule), BLOB)
+    text, ident = F.col(text_col), F.col(id_col).cast("long")
+    docs = docs.select(ident.alias("doc_id"), F.coalesce(ident, F.lit((1 << 63) - 1)).alias("id"), row_key(id_col, text_col).alias("key"), text.alias("text"))
+    docs = docs.withColumn("shard", F.pmod("key", F.lit(parts)).cast("int"))  # both groupings below are of this frame, so that its exchange is used twice
+    told = docs.mapInArrow(seed_entries(rule, parts), BLOB).groupBy("kind", "part").applyInArrow(joined_seeds(rule, parts), BLOB)
     runs = docs.groupBy("shard").cogroup(told.groupBy("part")).applyInArrow(extended(rule, parts), BLOB)
-    runs = runs.groupBy("kind", "part").applyInArrow(joined_contexts(rule), BLOB)
+    runs = runs.groupBy("kind", "part").applyInArrow(joined_contexts(rule, parts), BLOB)
     return docs.groupBy("shard").cogroup(runs.groupBy("part")).applyInArrow(kept(rule), "doc_id long, n long, spans array<struct<start: long, end: long>>, kept binary")
