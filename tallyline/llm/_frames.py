@@ -66,12 +66,10 @@ def row_key(id_col: str, text_col: str) -> Column:
     return F.xxhash64(i, i.isNull(), F.xxhash64(t), t.isNull())
 
 
-def salted_join(many: DataFrame, one: DataFrame, key: str, spread: Column, salts: int = 8) -> DataFrame:
-    """Inner join on key, which a large share of `many` may hold: its rows are dealt by `spread` as well, and the rows of
-    `one`, at most one per key, are sent to each of the salts."""
-    many = many.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
-    one = one.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
-    return many.join(one, [key, "_salt"]).drop("_salt")
+def skewed_join(many: DataFrame, one: DataFrame, key: str) -> DataFrame:
+    """Inner join on key, which a large share of `many` may hold. A merge join at every size: adaptive execution splits its
+    skewed partitions over tasks, which it can't once it has turned a join into a broadcast."""
+    return many.join(one.hint("merge"), key)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -20,13 +20,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyline.llm._bytes import NOT_SPACE, mixed, slices, spans, windows, within, word_hashes, words
-from tallyline.llm._frames import row_key, salted_join, short_batches, table, written
+from tallyline.llm._frames import row_key, skewed_join, short_batches, table, written
 
 N, SIMILARITY, RECALL = 5, 0.8, 0.9999
 #: MinHashes at most; with this, rows and bands follow from similarity and recall.
 HASHES = 128
 #: Classes of a family that one task takes as a block, and rows of small families that one task takes.
-BLOCK, BUNDLE = 512, 4096
+BLOCK, BUNDLE = 256, 4096
 
 
 def bands(similarity: float = SIMILARITY, recall: float = RECALL, hashes: int = HASHES) -> tuple[int, int]:
@@ -104,7 +104,7 @@ def components(edges: DataFrame) -> DataFrame:
             break
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = salted_join(both.filter("v > u"), least, "u", F.col("v")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+        large = skewed_join(both.filter("v > u"), least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
         edges = written(small.select("e.u", "e.v").filter("u <> v").distinct())
@@ -196,12 +196,12 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     classes = written(sig.filter("n > 0").groupBy("c1", "c2", "n").agg(rep, F.count("*").alias("members"), F.any_value("bands").alias("bands")))
     tied = classes.select(F.col("c1").alias("node"), F.explode("bands").alias("band"))
     stars = written(tied.groupBy("band").agg(F.min("node").alias("v"), F.count("*").alias("k")).filter("k > 1").select("band", "v"))
-    families = components(salted_join(tied, stars, "band", F.col("node")).select(F.col("node").alias("u"), "v"))
+    families = components(skewed_join(tied, stars, "band").select(F.col("node").alias("u"), "v"))
     families = written(families.withColumnRenamed("root", "family"))
     sizes = families.groupBy("family").agg(F.count("*").alias("m")).select("family", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
     total = families.count()
     members = classes.select(F.col("c1").alias("node"), "members", F.col("rep.doc_id").alias("doc_id"), F.col("rep.th").alias("th"))
-    members = written(salted_join(members.join(families, "node"), sizes, "family", F.col("node")))
+    members = written(skewed_join(members.join(families, "node"), sizes, "family"))
     # A merge join at every size: whether members would fit a broadcast depends on the input.
     sets = docs.join(members.hint("merge"), ["doc_id", "th"]).select("node", "members", "family", "blocks", "text").mapInArrow(sets_of(n), "node long, members long, family long, blocks int, set binary")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
@@ -216,7 +216,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups = groups.union(components(found.filter("kind = 2").select(F.col("a").alias("u"), F.col("b").alias("v"))))
     known = classes.select("c1", "c2", "n", "rep", "members")
     tied = known.join(groups, known["c1"] == groups["node"]).drop("node")
-    tied = salted_join(tied, tied.groupBy("root").agg(F.min("rep").alias("least")), "root", F.col("c1")).select(F.col("c1").alias("t1"), F.col("c2").alias("t2"), "least")
+    tied = skewed_join(tied, tied.groupBy("root").agg(F.min("rep").alias("least")), "root").select(F.col("c1").alias("t1"), F.col("c2").alias("t2"), "least")
     known = known.join(links, known["c1"] == links["node"], "left").join(tied, (F.col("c1") == F.col("t1")) & (F.col("c2") == F.col("t2")), "left")
     known = written(known.select(F.col("c1").alias("k1"), F.col("c2").alias("k2"), F.col("n").alias("k"), F.col("rep.doc_id").alias("class_id"), (F.col("members") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("least", "rep").alias("head")))
     out = sig.select("doc_id", "th", "c1", "c2", "n").join(known, (F.col("c1") == F.col("k1")) & (F.col("c2") == F.col("k2")) & (F.col("n") == F.col("k")), "left")
