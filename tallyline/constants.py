@@ -119,6 +119,9 @@ ITEM_START = r"^\s*(\d{1,4})\s+.*?([A-Z][A-Z.\s]{0,12}/\s*\d{1,6}\s*/\s*\d{4})"
 HALL = r"(?i)COURT\s*(?:HALL|NO\.?)\s*[:\-]?\s*([0-9IVX]+)"
 CORAM = r"(HON'BLE|HON’BLE|\.J\s*$|\bJ\.\s*$)"
 LIST_TYPE = r"(?i)\(\d{2}/\d{2}/\d{4}\)\s*-\s*(.+LIST)"
+#: Cells of an index column, and of a column of cases.
+INDEX_CELL = r"^\s*\d{1,4}\s*\.?\s*$"
+CASE_CELL = r"\d{1,6}\s*(?:/|of)\s*\d{4}"
 DIVIDER = r"^\s*-{6,}\s*$"
 REPOST_DATE = r"(\d{1,2})[./-](\d{1,2})[./-](\d{4})"
 REPOST_TIME = r"(?i)(\d{1,2}[.:]\d{2}\s*(?:a\.?m|p\.?m)\.?)"

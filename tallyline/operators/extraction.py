@@ -43,7 +43,7 @@ def infer_roles(table_cells: DataFrame) -> DataFrame:
     reposting = table_cells.filter("r = 0").groupBy("file", "n_cols").agg(F.max(F.col("text").rlike("(?i)reposted")).alias("reposting"))
     body = body.withColumn("_n", F.row_number().over(Window.partitionBy("file", "n_cols", "c").orderBy("page", "table_no", "r"))).filter("_n <= 40").join(F.broadcast(reposting), ["file", "n_cols"])
     share = lambda p: F.avg(F.col("text").rlike(p).cast("int"))
-    s = body.groupBy("file", "n_cols", "c", "reposting").agg(share(r"^\s*\d{1,4}\s*\.?\s*$").alias("index"), share(r"\d{1,6}\s*(?:/|of)\s*\d{4}").alias("case"), share(K.REPOST_DATE).alias("date"))
+    s = body.groupBy("file", "n_cols", "c", "reposting").agg(share(K.INDEX_CELL).alias("index"), share(K.CASE_CELL).alias("case"), share(K.REPOST_DATE).alias("date"))
     role = F.when((F.col("c") == 0) & (F.col("index") > 0.5), "index").when(F.col("case") > 0.4, "caseNumber").when(F.when(F.col("reposting"), F.col("date") > 0.4).otherwise(F.col("date") > 0.6), "extra").otherwise("party")
     name = F.when((role == "extra") & F.col("reposting"), "repostedTo").otherwise(F.concat(F.lit("column"), F.col("c").cast("string")))
     side = F.when(role == "party", F.when(F.col("c") == 2, "petitioner").when(F.col("c") == 3, "respondent"))
@@ -132,7 +132,8 @@ def _none() -> Column:
 def ruled_rows(table_cells: DataFrame, roles: DataFrame) -> DataFrame:
     """Rows of ruled tables as arrays of (c, name, role, side, label, text), with serial and case cell; headings are left out.
 
-    A heading is a first row without a digit in its case cell and with a heading's words. A blank serial is carried.
+    A heading is a first row without a digit in its case cell and with a heading's words. A blank serial is carried; without a
+    column of serials rows count from 1.
     """
     at = [*PAGE, "table_no"]
     x = table_cells.join(small(roles), ["file", "n_cols", "c"])
@@ -141,7 +142,7 @@ def ruled_rows(table_cells: DataFrame, roles: DataFrame) -> DataFrame:
     whole = F.array_join(F.transform("cols", lambda c: c["text"]), " ")
     heading = (F.col("r") == 0) & ~F.coalesce(of("caseNumber"), F.lit("")).rlike(r"\d") & whole.rlike(r"(?i)\b(case|no|s\.?\s*no|serial|petitioner|respondent|advocate|temple|subject|section|sec)\b")
     reposting = F.max(F.exists("cols", lambda c: c["name"] == "repostedTo") | ((F.col("r") == 0) & whole.rlike("(?i)reposted"))).over(Window.partitionBy(*at))
-    rows = rows.withColumns({"heading": heading, "reposting": reposting, "case_cell": F.coalesce(of("caseNumber"), F.lit("")), "printed": F.nullif(F.regexp_extract(F.coalesce(of("index"), F.lit("")), r"\d+", 0), F.lit(""))})
+    rows = rows.withColumns({"heading": heading, "reposting": reposting, "case_cell": F.coalesce(of("caseNumber"), F.lit("")), "printed": F.when(of("index").isNull(), (F.col("r") + 1).cast("string")).otherwise(F.nullif(F.regexp_extract(of("index"), r"\d+", 0), F.lit("")))})
     rows = rows.filter(~F.col("heading") & F.col("case_cell").rlike(r"\d"))
     serial = F.last("printed", ignorenulls=True).over(Window.partitionBy(*at).orderBy("r").rowsBetween(Window.unboundedPreceding, 0))
     rows = rows.withColumns({"item_no": F.coalesce(serial, F.lit("")), "item_no_inherited": F.col("printed").isNull() & serial.isNotNull()})

@@ -19,10 +19,6 @@ def _given(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
 
-def _number(p: Column, pattern: str, group: int) -> Column:
-    return F.regexp_extract(p, pattern, group).try_cast("bigint")
-
-
 def _segments(cell: Column) -> Column:
     """array(struct(own type, year, parts)) of a cell; a part is a struct(p, named: its own type)."""
     text = F.upper(F.coalesce(cell, F.lit("")))
@@ -34,7 +30,7 @@ def _segments(cell: Column) -> Column:
     rest = F.transform(owned, lambda s: F.struct(s["own"].alias("own"), F.when(s["own"].isNotNull(), F.substring(s["raw"], s["n"] + 1, F.length(s["raw"]))).otherwise(s["raw"]).alias("rest")))
 
     def part(p: Column) -> Column:
-        named = F.when(p.rlike(_TYPED) & ~p.rlike(r"^\d+$"), _given(F.regexp_replace(F.regexp_extract(p, _TYPED, 1), "[^A-Z]", "")))
+        named = F.when(p.rlike("^[A-Z]"), _given(F.regexp_replace(F.regexp_extract(p, _TYPED, 1), "[^A-Z]", "")))
         return F.struct(p.alias("p"), named.alias("named"))
 
     parts = lambda r: F.transform(F.transform(F.split(F.regexp_replace(r, r"/\s*\d{4}\s*$", ""), r"\s*(?:AND|&)\s*"), lambda s: F.trim(s)), part)
@@ -42,11 +38,13 @@ def _segments(cell: Column) -> Column:
 
 
 def _read(part: Column, kind: Column, year: Column) -> Column:
+    """A part's kind, year and bounds, null where it is neither a number, a range, nor a number with a type of its own."""
     p = part["p"]
-    low, one = _number(p, _SPAN, 1), _number(p, r"^(\d+)$", 1)
-    first = F.coalesce(low, one, _number(p, _TYPED, 2))
-    own = F.when(one.isNull() & low.isNull(), F.coalesce(part["named"], kind)).otherwise(kind)
-    return F.struct(own.alias("kind"), year.alias("year"), first.alias("first"), F.coalesce(_number(p, _SPAN, 2), first).alias("last")).cast(_PART)
+    plain, span = p.rlike(r"^\d+$"), p.rlike(_SPAN)
+    bounds = F.when(plain, F.array(p)).when(span, F.split(p, r"\s*(?:TO|-|–|—)\s*")).otherwise(F.array(F.regexp_extract(p, _TYPED, 2)))
+    number = lambda i: F.element_at(bounds, i).try_cast("bigint")
+    own = F.when(plain | span, kind).otherwise(F.coalesce(part["named"], kind))
+    return F.struct(own.alias("kind"), year.alias("year"), number(1).alias("first"), number(-1).alias("last")).cast(_PART)
 
 
 def case_parts(cell: Column) -> Column:

@@ -20,44 +20,71 @@ def _hadoop(spark: SparkSession, path: str):  # noqa: ANN202
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    p, fs = _hadoop(spark, path)
-    return fs.exists(p)
-
-
 class Store:
-    """Tables under one folder. A write goes to a new version first; the pointer file then names it."""
+    """Tables under one folder. A write goes to a new version first; a numbered pointer, put in place by one rename, then
+    names it, with a note. The pointer with the highest number counts, so a reader or a crash between the two sees the
+    table as it was. Older pointers and versions stay until erase() or tidy()."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
 
-    def _pointer(self, name: str) -> str:
-        return f"{self.folder}/{name}.current"
+    def _names(self, path: str) -> list[str]:
+        p, fs = _hadoop(self.spark, path)
+        return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+
+    def _pointers(self, name: str) -> list[str]:
+        return [x for x in self._names(f"{self.folder}/{name}.current") if x.isdigit()]
+
+    def _current(self, name: str) -> tuple[str, str] | None:
+        """The version that counts, and its note."""
+        found = self._pointers(name)
+        if not found:
+            return None
+        version, _, note = self.spark.read.text(f"{self.folder}/{name}.current/{found[-1]}").first()[0].partition(" ")
+        return version, note
 
     def get(self, name: str, schema: str) -> DataFrame:
         """The table of a name; empty if it was never written."""
-        if not exists(self.spark, self._pointer(name)):
-            return self.spark.createDataFrame([], schema)
-        version = self.spark.read.text(self._pointer(name)).first()[0]
-        return self.spark.read.schema(schema).parquet(f"{self.folder}/{version}")
+        at = self._current(name)
+        return self.spark.read.schema(schema).parquet(f"{self.folder}/{at[0]}") if at else self.spark.createDataFrame([], schema)
+
+    def note(self, name: str) -> str:
+        """What was noted with the table; empty if nothing was."""
+        at = self._current(name)
+        return at[1] if at else ""
 
-    def put(self, name: str, df: DataFrame) -> None:
+    def put(self, name: str, df: DataFrame, note: str | None = None) -> None:
+        """Replaces a table. Without a note the one before stays."""
+        note = self.note(name) if note is None else note
         version = f"{name}-{uuid.uuid4().hex}"
         df.write.parquet(f"{self.folder}/{version}")
-        self.spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("overwrite").text(self._pointer(name))
+        number = int((self._pointers(name) or ["0"])[-1]) + 1
+        folder = f"{self.folder}/{name}.current"
+        part, fs = _hadoop(self.spark, f"{folder}/.{version}")
+        out = fs.create(part)
+        out.write(bytearray(f"{version} {note}\n", "utf-8"))
+        out.close()
+        if not fs.rename(part, _hadoop(self.spark, f"{folder}/{number:012d}")[0]):
+            raise RuntimeError(f"{name} was written by another at the same time")
+
+    def tidy(self, name: str) -> None:
+        """Removes versions and pointers that no longer count; only while nothing reads them."""
+        at, pointers = self._current(name), self._pointers(name)
+        gone = [f"{name}.current/{x}" for x in pointers[:-1]] + [x for x in self._names(self.folder) if at and x.startswith(f"{name}-") and x != at[0]]
+        for x in gone:
+            p, fs = _hadoop(self.spark, f"{self.folder}/{x}")
+            fs.delete(p, True)
 
     def keys(self) -> list[str]:
-        p, fs = _hadoop(self.spark, self.folder)
-        return sorted(s.getPath().getName().removesuffix(".current") for s in fs.listStatus(p) if s.getPath().getName().endswith(".current")) if fs.exists(p) else []
+        return sorted(x.removesuffix(".current") for x in self._names(self.folder) if x.endswith(".current"))
 
     def erase(self, name: str | None = None) -> list[str]:
         """Removes one table, or all; the names of what is gone."""
         gone = [k for k in self.keys() if name in (None, k)]
-        p, fs = _hadoop(self.spark, self.folder)
-        for s in fs.listStatus(p) if gone else []:
-            own = s.getPath().getName()
+        for own in self._names(self.folder) if gone else []:
             if any(own == f"{k}.current" or own.startswith(f"{k}-") for k in gone):
-                fs.delete(s.getPath(), True)
+                p, fs = _hadoop(self.spark, f"{self.folder}/{own}")
+                fs.delete(p, True)
         return gone
 
 

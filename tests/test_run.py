@@ -3,6 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
+import bench
+from tallyline.operators.extraction import bad_files, read_documents
+from tallyline.operators.matching import decide
+from tallyline.operators.views import confirm_queue, visible, write_csv
 from tallyline.plans.run import Inputs, run
 from tests import planted
 
@@ -124,3 +128,67 @@ def test_caps_and_fallback(spark):
     assert got["D06", "E. Ganesh"]["tier"] == "review" and got["D06", "E. Ganesh"]["tier_before_cap"] == "auto"
     assert got["P13", "E. Srikanth"]["tier"] == "weak"
     assert got["P13", "E. Ganesh"]["register_case"]["diary_no"] == "K1" and got["P13", "E. Ganesh"]["tier"] == "auto"
+
+
+def test_visible_rows_and_the_queue(results, matches):
+    by = lambda *tiers: sum(m["tier"] in tiers for m in matches)
+    assert visible(results["matches"]).count() == by("auto", "review") and visible(results["matches"], weak=True).count() == len(matches)
+    assert confirm_queue(results["matches"]).count() == by("review") > 0
+
+
+def test_decisions_are_written_back(spark, inputs, matches):
+    key = next(m["confirm_key"] for m in matches if m["item_id"] == "P13")
+    memory = spark.createDataFrame([(key, False), ("other", True)], "confirm_key string, confirmed boolean")
+    memory = decide(memory, key, True)
+    assert sorted(map(tuple, memory.collect())) == sorted([(key, True), ("other", True)])
+    out = run(Inputs(**inputs, memory=memory))["matches"].filter("item_id = 'P13'")
+    assert [r["tier"] for r in out.collect()] == ["auto"] and confirm_queue(out).count() == 0
+
+
+def test_csv(spark, results, tmp_path):
+    write_csv(results["export_rows"], f"{tmp_path}/rows")
+    write_csv(results["export_rows"], f"{tmp_path}/one", single=True)
+    back = spark.read.option("header", True).csv(f"{tmp_path}/rows")
+    assert back.count() == results["export_rows"].count() and {"CaseNumber", "Tier", "Register: DiaryNo"} <= set(back.columns)
+    assert len(list((tmp_path / "one").glob("*.csv"))) == 1
+    p19 = back.filter("item_id = 'P19'").first()
+    assert p19["DiaryNo"] == p19["Register: DiaryNo"] == "B045"
+
+
+def test_printed_enrolments_and_cnrs(spark, inputs):
+    """An enrolment number or a CNR in an item's text decides, however it is spaced."""
+    items = planted.items(spark).filter("item_id in ('P13', 'D06')").withColumn("raw_text", F.concat("raw_text", F.when(F.col("item_id") == "P13", " Enrol. MS-1234/2005").otherwise(" CNR TNCH01-004567-2026")))
+    names = planted.item_names(spark).filter("item_id in ('P13', 'D06')")
+    roster = planted.roster(spark).withColumn("enrolment", F.when(F.col("name") == "E. Ganesh", "MS/1234/2005"))
+    cnr = spark.createDataFrame([(0, None, "TNCH010045672026", "K1", None, None, None, None, None, None, {})], planted.register(spark).schema)
+    got = {(r["item_id"], r["advocate"]): r for r in run(Inputs(items, names, roster, cnr))["matches"].collect()}
+    p13 = got["P13", "E. Ganesh"]
+    assert p13["tier"] == "auto" and "enrolment" in [s["kind"] for s in p13["signals"]]
+    d06 = [r for (i, _), r in got.items() if i == "D06"]
+    assert d06 and all("cnr" in [s["kind"] for s in r["signals"]] and r["register_case"]["diary_no"] == "K1" for r in d06)
+
+
+def test_notices_without_lists(spark, inputs):
+    notices = spark.createDataFrame([(0, ["WP/7777/2026"], "2026-09-01", None, "ruled", "n", 1)], NOTICE)
+    out = run(Inputs(**(inputs | {"items": planted.items(spark).limit(0)}), reposted=notices))
+    assert [r["level"] for r in out["notes"].collect()] == ["warn"] and out["notice_only"].count() == 1
+
+
+def test_files_with_many_bad_pages(spark):
+    pages = spark.createDataFrame([("a", k) for k in range(10)] + [("b", 0)], "file string, page int")
+    items = spark.createDataFrame([("a", k, k < 3) for k in range(10)] + [("b", 0, False)], "file string, page int, low_page boolean")
+    assert [(r["file"], r["low_share"]) for r in bad_files(items, pages).collect()] == [("a", 0.3)]
+
+
+def test_from_pages_to_exports(spark):
+    """Spans and rules are read and matched, and the matches exported."""
+    x = bench.listing(spark, pages=4, rows=6)
+    roster = spark.createDataFrame([(0, "H. Navirukan", None, None)], "advocate_ord int, name string, enrolment string, role string")
+    found = read_documents(**x, roster=roster)
+    assert found["items"].count() == 24 and found["bad_files"].count() == 0
+    names = {r["name"] for r in found["item_names"].filter("match_role = 'counsel'").collect()}
+    assert len(names) == 24
+    register = spark.createDataFrame([(0, "WP/7/2026", None, "D7", None, None, None, None, None, None, {})], planted.register(spark).schema)
+    out = run(Inputs(found["items"], found["item_names"], spark.createDataFrame([(0, sorted(names)[3], None, None)], roster.schema), register))
+    rows = {r["CaseNumber"]: r for r in out["export_rows"].collect()}
+    assert rows["W.P.No.7/2026"]["DiaryNo"] == "D7" and any(r["PrintedName"] == sorted(names)[3] and r["Tier"] == "Matched" for r in rows.values())
