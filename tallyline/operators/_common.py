@@ -15,11 +15,15 @@ from pyspark.sql.window import Window
 BROADCAST_BYTES = 64 << 20
 
 
+def fits(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether the planner's estimate of df from the files beneath is within `limit`. Nothing is run for it."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= limit
+
+
 def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """df with a broadcast hint if the planner's estimate from the files beneath is within `limit`; else as it is, so that
-    the join shuffles unless adaptive execution finds the real size small. Nothing is run for it."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return F.broadcast(df) if size <= limit else df
+    """df with a broadcast hint if it fits(); else as it is, so that the join shuffles unless adaptive execution finds the
+    real size small."""
+    return F.broadcast(df) if fits(df, limit) else df
 
 
 _written: list[tuple[SparkSession, str]] = []

@@ -41,7 +41,7 @@ def infer_roles(table_cells: DataFrame) -> DataFrame:
     """(file, n_cols, c, name, role, side, label): columns of a layout that nothing declares, from their first 40 cells."""
     body = table_cells.filter((F.col("r") > 0) & (F.col("r") == F.col("owner_r")) & (F.col("text") != ""))
     reposting = table_cells.filter("r = 0").groupBy("file", "n_cols").agg(F.max(F.col("text").rlike("(?i)reposted")).alias("reposting"))
-    body = body.withColumn("_n", F.row_number().over(Window.partitionBy("file", "n_cols", "c").orderBy("page", "table_no", "r"))).filter("_n <= 40").join(F.broadcast(reposting), ["file", "n_cols"])
+    body = body.withColumn("_n", F.row_number().over(Window.partitionBy("file", "n_cols", "c").orderBy("page", "table_no", "r"))).filter("_n <= 40").join(small(reposting), ["file", "n_cols"])
     share = lambda p: F.avg(F.col("text").rlike(p).cast("int"))
     s = body.groupBy("file", "n_cols", "c", "reposting").agg(share(K.INDEX_CELL).alias("index"), share(K.CASE_CELL).alias("case"), share(K.REPOST_DATE).alias("date"))
     role = F.when((F.col("c") == 0) & (F.col("index") > 0.5), "index").when(F.col("case") > 0.4, "caseNumber").when(F.when(F.col("reposting"), F.col("date") > 0.4).otherwise(F.col("date") > 0.6), "extra").otherwise("party")

@@ -84,6 +84,22 @@ def test_text_columns(spark):
     assert column(spark, [("The State", "STATE, THE"), (None, "x")], text_similarity(F.col("x"), F.col("y")), "x string, y string") == [1, 0]
 
 
+def test_blocks_over_salts(spark):
+    """A roster too large to be sent to all finds the same pairs."""
+    from tallyline.operators import linking
+
+    q = spark.createDataFrame([(["AB"], "=A"), (["BC"], "=B"), (["AD"], "=A")], "q_core array<string>, block string")
+    c = spark.createDataFrame([([f"A{i}"], "=A") for i in range(40)] + [(["BX"], "=B"), (["CX"], "=C")], "c_core array<string>, block string")
+    pairs = lambda df: sorted((r["q_core"][0], r["c_core"][0]) for r in df.collect())
+    want = pairs(linking.blocked(q, c))
+    assert len(want) == 81
+    old, linking.fits = linking.fits, lambda df: False
+    try:
+        assert pairs(linking.blocked(q, c)) == want
+    finally:
+        linking.fits = old
+
+
 def test_initials(spark):
     cases = {("", ""): "both-absent", ("E", ""): "absent-in-list", ("", "E"): "absent-in-query", ("E", "E"): "exact", ("E", "ES"): "partial", ("ES", "SE"): "subset", ("E", "R"): "flip-plausible", ("E", "F"): "flip-plausible", ("E", "J"): "flip-other", ("AB", "XY"): "different", ("EXZ", "EYZ"): "flip-other"}
     df = spark.createDataFrame(list(cases), "q string, c string").select("q", "c", initials_state(F.col("q"), F.col("c")).alias("s"))

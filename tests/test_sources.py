@@ -10,6 +10,7 @@ from tallyline.functions.tiers import register_age
 from tallyline.sources.store import LEDGER, MEMORY, Store, ledger_entries, load_profile_json, merge_ledger, profile_json, remember
 from tallyline.sources.tabular import detect_columns, header_score, parse_register, read_register, read_roster, separator, sheet
 from tallyline import constants as K
+from tallyline.sources.workbook import write_workbook
 from tallyline.streaming.notices import NOTICES, follow_notices, merge_batch
 
 TWO = [("E. Ganesh", "MS/1/2005"), ("M. Krishnamurthy", "MS/2/2001")]
@@ -57,6 +58,18 @@ def test_register(spark, tmp_path):
     assert parse_register(sheet(spark, f"{tmp_path}/d.csv"), {"cnr": 0}).first()["cnr"] == "R.P.No.66/2022"
 
 
+def test_workbook_round_trip(spark, tmp_path):
+    """Sheets hold the tables, with maps as columns; text that XML can't hold is left out."""
+    rows = [(1, "a <b> & 'c'", None, {"k": "v", "j": ""}, 1.5), (2, "bell \x07 and\nline", True, {}, None)]
+    df = spark.createDataFrame(rows, "n long, s string, b boolean, Register map<string, string>, x double").coalesce(1)
+    path = f"{tmp_path}/out.xlsx"
+    write_workbook(spark, {"rows/1": df, "summary": spark.createDataFrame([("Matched", 3)], "name string, value long")}, f"file://{path}")
+    got = [r["cells"] for r in sheet(spark, path).orderBy("ord").collect()]
+    assert got == [["n", "s", "b", "j", "k", "x"], ["1", "a <b> & 'c'", "", "", "v", "1.5"], ["2", "bell  and\nline", "True"]]
+    with zipfile.ZipFile(path) as z:
+        assert 'name="rows 1"' in z.read("xl/workbook.xml").decode() and "Matched" in z.read("xl/worksheets/sheet2.xml").decode()
+
+
 def test_headers():
     assert detect_columns(["Cause Title", "Case Type", "Diary"], K.REGISTER_HEADERS) == {"cause_title": 0, "case_type": 1, "diary_no": 2}
     assert header_score("NAME OF THE ADVOCATE", K.ROSTER_HEADERS["name"]) == 1 and header_score("", ["name"]) == 0
