@@ -509,3 +509,80 @@ def item_segmentation(spark: SparkSession, sf: str) -> DataFrame:
     context = pages.select("file", "page", *[F.lit(None).cast("string").alias(c) for c in ("court", "hall", "coram", "list_type")])
     items, _ = extraction.column_items(lines, pages, lines.select("file", "page", F.explode("spans").alias("s")).select("file", "page", "s.*"), context)
     return items.select(F.col("file").cast("long").alias("l_orderkey"), "item_no", F.element_at("case_keys", 1).alias("case_key"), "petitioner", "respondent", F.size(F.split("raw_text", "\n")).cast("long").alias("lines"))
+
+
+_HEADS = ("HIGH COURT OF JUDICATURE", "COURT NO. ")
+_PLACED = "SELECT *, 'f' || (rn // 150) AS file, (rn % 150) // 15 + 1 AS page, rn % 15 AS r FROM (SELECT *, row_number() OVER (ORDER BY p_partkey) - 1 AS rn FROM part)"
+
+
+@query(f"""
+WITH p AS ({_PLACED}), x AS (SELECT *, 'W.P.No.' || p_partkey || '/2026' AS case_cell, 'PARTY ' || p_size || ' VS THE STATE' AS party, chr(65 + (p_partkey % 26)::INTEGER) || '.' || upper(p_name) AS name FROM p)
+SELECT file || ':' || page || ':t:1:' || r AS item_id, (page % 7 + 1)::VARCHAR AS hall, (r + 1)::VARCHAR AS item_no, false AS item_no_inherited, 'WP/' || p_partkey || '/2026' AS case_keys, case_cell AS case_numbers, party AS petitioner, '' AS respondent,
+  (r + 1) || '  |  ' || case_cell || '  |  ' || party || '  |  ' || name AS raw_text, 'party=' || party || '; counsel=' || name AS names FROM x
+""")
+def read_listing(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages of spans and rules read as a list: type, columns, hall, serials, cases, parties, names. No page has a roster's name."""
+    rn = F.row_number().over(Window.orderBy("p_partkey")) - 1  # a number for each of few rows
+    p = written(t(spark, sf, "part", "p_partkey", "p_name", "p_size").withColumn("rn", rn))
+    p = p.select("*", F.concat(F.lit("f"), text(F.floor(F.col("rn") / 150))).alias("file"), (F.floor(F.col("rn") % 150 / 15) + 1).cast("int").alias("page"), (F.col("rn") % 15).alias("r"))
+    y = lambda r: 700.0 - 40 * r
+    cells = [text(F.col("r") + 1), F.concat(F.lit("W.P.No."), text("p_partkey"), F.lit("/2026")), F.concat(F.lit("PARTY "), text("p_size"), F.lit(" VS THE STATE")), F.concat(F.char(F.lit(65) + F.col("p_partkey") % 26), F.lit("."), F.upper("p_name"))]
+    span = lambda i, x, c: F.struct((F.col("r") * 4 + i).cast("long").alias("ord"), F.lit(x).alias("x"), F.lit(90.0).alias("w"), c.alias("text"))
+    spans = p.select("file", "page", F.explode(F.array(*[span(i, x, c) for i, (x, c) in enumerate(zip((5.0, 55.0, 205.0, 405.0), cells, strict=True))])).alias("s"), (y(F.col("r")) - 20).alias("y")).select("file", "page", "s.ord", "s.x", "y", "s.w", "s.text")
+    sheet = p.groupBy("file", "page").agg((F.max("r") + 1).alias("rows"))
+    head = lambda i, c: F.struct(F.lit(1000 + i).cast("long").alias("ord"), F.lit(20.0).alias("x"), F.lit(770.0 - 15 * i).alias("y"), F.lit(50.0).alias("w"), c.alias("text"))
+    heads = F.array(head(0, F.lit(_HEADS[0])), head(1, F.concat(F.lit(_HEADS[1]), text(F.col("page") % 7 + 1))))
+    spans = spans.unionByName(sheet.select("file", "page", F.explode(heads).alias("h")).select("file", "page", "h.*"))
+    hsegs = sheet.select("file", "page", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows"))).alias("i")).select("file", "page", y(F.col("i")).alias("y"), F.lit(0.0).alias("x0"), F.lit(550.0).alias("x1"))
+    vsegs = sheet.select("file", "page", F.explode(F.array(*[F.lit(v) for v in (0.0, 50.0, 200.0, 400.0, 550.0)])).alias("x"), y(F.col("rows")).alias("y0"), F.lit(700.0).alias("y1"))
+    pages = sheet.select("file", "page", F.lit(600.0).alias("width"), F.lit(800.0).alias("height"), F.lit(False).alias("was_ocr"))
+    roster = spark.createDataFrame([(0, "Q. Zzyzxqv", None)], "advocate_ord int, name string, enrolment string")
+    found = extraction.read_documents(pages, spans, hsegs, vsegs, roster)
+    names = found["item_names"].groupBy("item_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name_ord", F.concat_ws("=", "match_role", "name").alias("n")))), lambda n: n["n"]), "; ").alias("names"))
+    items = found["items"].join(names, "item_id", "left")
+    return items.select("item_id", "hall", "item_no", "item_no_inherited", F.array_join("case_keys", ",").alias("case_keys"), F.array_join("case_numbers", ",").alias("case_numbers"), "petitioner", "respondent", "raw_text", "names")
+
+
+@query("""
+WITH n AS (SELECT *, row_number() OVER (PARTITION BY o_custkey % 100 ORDER BY o_orderkey) - 1 AS line, o_orderkey % 3 = 0 AS dated FROM orders),
+d AS (SELECT *, CASE WHEN dated THEN '2026-09-0' || (o_orderkey % 9 + 1) END AS own FROM n WHERE o_orderkey % 5 <> 4)
+SELECT 'n' || (o_custkey % 100) AS file, line::BIGINT AS line, 'WP/' || o_orderkey || '/2024' || CASE WHEN o_orderkey % 2 = 0 THEN ',WP/' || (o_orderkey + 1) || '/2024' ELSE '' END AS case_keys,
+  last_value(own IGNORE NULLS) OVER w AS reposted_to, CASE WHEN last_value(own IGNORE NULLS) OVER w IS NOT NULL THEN '10.30 a.m.' END AS reposted_time, CASE WHEN dated THEN 'ruled' ELSE 'inferred' END AS date_confidence
+FROM d WINDOW w AS (PARTITION BY o_custkey % 100 ORDER BY line ROWS UNBOUNDED PRECEDING)
+""")
+def line_notices(spark: SparkSession, sf: str) -> DataFrame:
+    """Reposted matters from lines of notices; a line without a date takes that of a line before. Lines without a case are none."""
+    k = F.col("o_orderkey")
+    o = t(spark, sf, "orders", "o_orderkey", "o_custkey").withColumn("g", F.col("o_custkey") % 100)
+    o = o.withColumn("line", F.row_number().over(Window.partitionBy("g").orderBy("o_orderkey")) - 1)
+    case = F.concat(F.lit("W.P.Nos."), text(k), F.when(k % 2 == 0, F.concat(F.lit(" and "), text(k + 1))).otherwise(""), F.lit("/2024"))
+    body = F.when(k % 5 == 4, "no case in this line").otherwise(F.concat(case, F.when(k % 3 == 0, F.concat(F.lit(" stands over to "), text(k % 9 + 1), F.lit(".09.2026 at 10.30 a.m."))).otherwise(" as above")))
+    lines = o.select(F.concat(F.lit("n"), text("g")).alias("file"), F.lit(1).alias("page"), "line", body.alias("text"))
+    found = extraction.line_notices(lines)
+    return found.select("file", (F.col("notice_ord") - 1_000_000).alias("line"), F.array_join("case_keys", ",").alias("case_keys"), "reposted_to", "reposted_time", "date_confidence")
+
+
+@query("""
+SELECT c_custkey AS case_ord, CASE c_custkey % 3 WHEN 0 THEN 'RP/' || c_custkey || '/2022' WHEN 1 THEN 'AP/' || c_custkey || '/2023' END AS case_key, 'D' || c_custkey AS diary_no, c_name AS party_name, c_name || ' -Vs- State' AS cause_title, CASE WHEN c_custkey % 2 = 0 THEN 'Petitioner' END AS counsel_for,
+  c_mktsegment AS raw_segment FROM customer
+""")
+def parse_register(spark: SparkSession, sf: str) -> DataFrame:
+    """A register's sheet with its columns in another order and other words: fields, keys from whole numbers or none, and the rest."""
+    c, k = t(spark, sf, "customer", "c_custkey", "c_name", "c_mktsegment"), F.col("c_custkey")
+    case = F.when(k % 3 == 0, F.concat(F.lit("R.P.No."), text(k), F.lit("/2022"))).when(k % 3 == 1, F.concat(F.lit("ap "), text(k), F.lit(" of 2023"))).otherwise("")
+    rows = c.select(k.alias("ord"), F.array(F.col("c_mktsegment"), F.concat("c_name", F.lit(" -Vs- State")), case, F.concat(F.lit("D"), text(k)), F.when(k % 2 == 0, "Petitioner").otherwise(" "), F.col("c_name")).alias("cells"))
+    head = spark.createDataFrame([(-1, ["Segment", "Cause Title", "Case Number", "Diary No", "Appearing for", "Client"])], "ord long, cells array<string>")
+    found = tabular.parse_register(head.unionByName(rows))
+    return found.select("case_ord", "case_key", "diary_no", "party_name", "cause_title", "counsel_for", F.element_at("raw", "Segment").alias("raw_segment"))
+
+
+@query("""
+WITH r AS (SELECT *, row_number() OVER (PARTITION BY regexp_replace(upper(p_name), '[^A-Z]', '', 'g') ORDER BY p_partkey) AS n FROM part)
+SELECT p_partkey AS advocate_ord, p_name AS name, 'MS/' || p_partkey AS enrolment, CASE WHEN p_partkey % 2 = 0 THEN 'Senior' END AS role FROM r WHERE n = 1
+""")
+def parse_roster(spark: SparkSession, sf: str) -> DataFrame:
+    """A roster's sheet with a serial first and misspelt headings: the first row of each person."""
+    k = F.col("p_partkey")
+    rows = t(spark, sf, "part", "p_partkey", "p_name").select(k.alias("ord"), F.array(text(k), F.concat(F.lit("MS/"), text(k)), F.concat(F.lit(" "), F.col("p_name")), F.when(k % 2 == 0, "Senior").otherwise("")).alias("cells"))
+    head = spark.createDataFrame([(-1, ["S.No", "Enrolmnt No", "Advocat Name", "Designation"])], "ord long, cells array<string>")
+    return tabular.parse_roster(head.unionByName(rows))
