@@ -150,6 +150,26 @@ def test_mixture_proportions(spark):
     assert len(got[1]["proportions"]) == 1
 
 
+def test_language_ties(spark):
+    """Languages that a text fits equally well: the first by code point."""
+    rows = [(i, "same words for both", lang) for i, lang in enumerate(["zz", "aa", "zz", "aa"])] + [(9, "same words", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r["lang_pred"] for r in language_id(df, F.lit(False)).collect()} == {"aa"}
+
+
+def test_quality_ties_and_clashing_columns(spark):
+    """Two labels of a row that cancel out count as good; other columns, whatever their names, change nothing."""
+    rows = [(i, f"good words {i}" if i % 2 else f"bad stuff {i}") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = [(i, i % 2) for i in range(20)]
+    one = quality_scores(docs, spark.createDataFrame(labels, "doc_id long, quality int"), F.lit(False)).orderBy("doc_id").collect()
+    twice = [(i, 0) for i, y in labels if y] + [(i, 1) for i, y in labels if y] + [(i, y) for i, y in labels if not y]
+    clash = docs.selectExpr("*", "doc_id as k", "text as h", "1 as y", "2 as i", "true as held_out", "0.5 as score")
+    two = quality_scores(clash, spark.createDataFrame(twice, "doc_id long, quality int"), F.lit(False)).orderBy("doc_id").collect()
+    assert [r["score"] for r in one] == [r["score"] for r in two]
+    assert all((r["score"] > 0.5) == (r["doc_id"] % 2 == 1) for r in one)
+
+
 def test_language_id_held_out_accuracy(spark):
     got = op6_language_id(spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet"), "doc_id").filter("held_out")
     assert got.filter("lang = lang_pred").count() / got.count() > 0.97
