@@ -5,8 +5,9 @@
 2. Classes that share a band hash are tied to the least class of that band, a star per band, never a pair per pair.
    The components of the stars are families: no two similar classes are in different families, but for the recall
    that the band counts were chosen for.
-3. Within a family all pairs of classes are verified on their full sets. A large family is split into blocks and a task
-   verifies two of them, as one sparse product. Of verified links only counts and stars leave a task.
+3. Classes are verified on their full sets, a small family in one piece. A large one, which may chain many loose groups, is
+   split into blocks by the bands that most of its classes share; a task verifies two blocks, as one sparse product, and only
+   blocks that some band ties meet. Of verified links only counts and stars leave a task.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ N, SIMILARITY, RECALL = 5, 0.8, 0.9999
 #: MinHashes at most; with this, rows and bands follow from similarity and recall.
 HASHES = 128
 #: Classes of a family that one task takes as a block, and rows of small families that one task takes.
-BLOCK, BUNDLE = 256, 4096
+BLOCK, BUNDLE = 512, 4096
 
 
 def bands(similarity: float = SIMILARITY, recall: float = RECALL, hashes: int = HASHES) -> tuple[int, int]:
@@ -112,12 +113,35 @@ def components(edges: DataFrame) -> DataFrame:
     return roots.union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def blocked(families: DataFrame, tied: DataFrame, stars: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, family, blocks, block) of all nodes, and the tasks (block, bi, bj) of large families.
+
+    A node's home is the band that it shares with most others. Nodes of one home share a block, or, where they are more than a
+    block holds, are dealt over as many as they need; several small homes go to one block. Two blocks meet if they share a band.
+    """
+    large = families.filter("blocks > 1")
+    small = families.filter("blocks = 1").select("node", "family", "blocks", F.col("family").alias("block"))
+    if not large.head(1):
+        return small, large.select(F.col("node").alias("block"), F.col("node").alias("bi"), F.col("node").alias("bj"))
+    ties = written(skewed_join(tied.join(large, "node"), stars.select("band", "k"), "band"))
+    home = written(ties.groupBy("node").agg(F.max(F.struct("k", "band")).alias("h")).select("node", F.col("h.band").alias("home")))
+    many = home.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).alias("many"))
+    dealt = F.when(F.col("many") > 1, F.xxhash64("family", "home", F.pmod(F.xxhash64("node"), F.col("many")))).otherwise(F.xxhash64("family", F.pmod(F.xxhash64("home"), F.col("blocks"))))
+    placed = written(large.join(skewed_join(home, many, "home"), "node").select("node", "family", "blocks", dealt.alias("block")))
+    held = written(ties.select("node", "band").join(placed.select("node", "block"), "node").select("band", "block").distinct())
+    pairs = held.withColumnRenamed("block", "bi").join(held.withColumnRenamed("block", "bj").hint("merge"), "band").filter("bi < bj").select("bi", "bj").distinct()
+    own = placed.select(F.col("block").alias("bi"), F.col("block").alias("bj")).distinct()
+    pairs = written(pairs.union(own))
+    tasks = pairs.select(F.col("bi").alias("block"), "bi", "bj").union(pairs.filter("bi < bj").select(F.col("bj").alias("block"), "bi", "bj"))
+    return placed.union(small), tasks
+
+
 def linked(similarity: float) -> Callable:
     """Blocks of classes to links (kind 0: node, number of linked documents) and stars (root, node) of what links tie
     together: kind 1 in a whole family, where they are the groups, kind 2 in two blocks of one."""
 
     def run(t: pa.Table) -> pa.Table:
-        family, bi, bj, mine, blocks = (np.asarray(t.column(k)) for k in ("family", "bi", "bj", "mine", "blocks"))
+        family, bi, bj, mine, blocks = (np.asarray(t.column(k)) for k in ("family", "bi", "bj", "block", "blocks"))
         node, members = np.asarray(t.column("node")), np.asarray(t.column("members"))
         sets = [np.frombuffer(x, np.uint64) for x in t.column("set").to_pylist()]
         kind, left, right = [], [], []
@@ -144,9 +168,10 @@ def linked(similarity: float) -> Callable:
             if bi[rows[0]] != bj[rows[0]]:
                 ok &= block[:, None] != block[None, :]  # pairs within a block have their own task
             links = ok @ members[rows]
-            kind += [0] * m
-            left += node[rows].tolist()
-            right += links.tolist()
+            some = np.flatnonzero(links)
+            kind += [0] * len(some)
+            left += node[rows][some].tolist()
+            right += links[some].tolist()
             seen = np.zeros(m, bool)
             for s in range(m):  # from the least node of each tree, breadth first
                 if seen[s]:
@@ -170,8 +195,8 @@ def sets_of(n: int) -> Callable:
         for batch in batches:
             for a, z, buf, offsets in slices(batch.column("text")):
                 h, o = shingles(buf, offsets, n)
-                cols = [batch.column(k).slice(a, z - a) for k in ("node", "members", "family", "blocks")]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array([h[x:y].tobytes() for x, y in zip(o[:-1].tolist(), o[1:].tolist(), strict=True)], pa.binary())], ["node", "members", "family", "blocks", "set"])
+                cols = [batch.column(k).slice(a, z - a) for k in ("node", "members", "family", "blocks", "block")]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array([h[x:y].tobytes() for x, y in zip(o[:-1].tolist(), o[1:].tolist(), strict=True)], pa.binary())], ["node", "members", "family", "blocks", "block", "set"])
 
     return run
 
@@ -195,21 +220,21 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rep = F.min(F.struct("doc_id", "th")).alias("rep")
     classes = written(sig.filter("n > 0").groupBy("c1", "c2", "n").agg(rep, F.count("*").alias("members"), F.any_value("bands").alias("bands")))
     tied = classes.select(F.col("c1").alias("node"), F.explode("bands").alias("band"))
-    stars = written(tied.groupBy("band").agg(F.min("node").alias("v"), F.count("*").alias("k")).filter("k > 1").select("band", "v"))
+    stars = written(tied.groupBy("band").agg(F.min("node").alias("v"), F.count("*").alias("k")).filter("k > 1"))
     families = components(skewed_join(tied, stars, "band").select(F.col("node").alias("u"), "v"))
-    families = written(families.withColumnRenamed("root", "family"))
+    families = families.withColumnRenamed("root", "family")
     sizes = families.groupBy("family").agg(F.count("*").alias("m")).select("family", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    families = written(skewed_join(families, sizes, "family"))
     total = families.count()
+    placed, tasks = blocked(families, tied, stars)
     members = classes.select(F.col("c1").alias("node"), "members", F.col("rep.doc_id").alias("doc_id"), F.col("rep.th").alias("th"))
-    members = written(skewed_join(members.join(families, "node"), sizes, "family"))
+    members = written(members.join(placed, "node"))
     # A merge join at every size: whether members would fit a broadcast depends on the input.
-    sets = docs.join(members.hint("merge"), ["doc_id", "th"]).select("node", "members", "family", "blocks", "text").mapInArrow(sets_of(n), "node long, members long, family long, blocks int, set binary")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    sets = sets.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("o", other)
-    sets = sets.withColumn("bi", F.least("mine", "o")).withColumn("bj", F.greatest("mine", "o"))
+    sets = docs.join(members.hint("merge"), ["doc_id", "th"]).select("node", "members", "family", "blocks", "block", "text").mapInArrow(sets_of(n), "node long, members long, family long, blocks int, block long, set binary")
+    sets = sets.join(tasks.hint("merge"), "block", "left").withColumn("bi", F.coalesce("bi", "block")).withColumn("bj", F.coalesce("bj", "block"))
     bundles = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BUNDLE))
-    task = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("family"), F.lit(bundles))).otherwise(F.xxhash64("family", "bi", "bj"))
-    found = written(sets.withColumn("task", task).drop("o").groupBy("task").applyInArrow(linked(similarity), "kind int, a long, b long"))
+    task = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("family"), F.lit(bundles))).otherwise(F.xxhash64("bi", "bj"))
+    found = written(sets.withColumn("task", task).groupBy("task").applyInArrow(linked(similarity), "kind int, a long, b long"))
     links = found.filter("kind = 0").groupBy(F.col("a").alias("node")).agg(F.sum("b").alias("links"))
     stars = found.filter("kind = 1")
     groups = stars.select(F.col("b").alias("node"), F.col("a").alias("root")).union(stars.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())

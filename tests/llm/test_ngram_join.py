@@ -59,6 +59,24 @@ def test_large_family_in_blocks(spark, monkeypatch):
     assert got(ngram_join(df)) == brute(rows)
 
 
+def test_chain_of_groups_in_blocks(spark, monkeypatch):
+    """A family that chains groups of near copies: only blocks that a band ties meet, and no link is lost."""
+    import tallyline.llm.ngram_join as m
+
+    monkeypatch.setattr(m, "BLOCK", 8)
+    r = random.Random(11)
+    rows, base = [], [f"b{i}" for i in range(100)]
+    for g in range(12):  # each group's text shares most with the one before, and drifts away from the first
+        for _ in range(8):
+            base[r.randrange(100)] = f"g{g}x{r.randrange(9999)}"
+        for _ in range(10):
+            w = list(base)
+            for _ in range(r.randint(0, 2)):
+                w[r.randrange(100)] = f"y{r.randrange(9999)}"
+            rows.append((len(rows), " ".join(w)))
+    assert got(ngram_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))) == brute(rows)
+
+
 def test_bands_reach_the_recall():
     b, r = bands(0.8, 0.9999)
     assert 1 - (1 - 0.8**r) ** b >= 0.9999 and b * r <= 128
