@@ -86,14 +86,14 @@ def case_key(raw: Column, ocr: bool = False) -> Column:
     text = F.replace(upper_plain(raw), F.lit("."), F.lit(""))
     text = _blanked(text, ["OF", "NO", "NOS", "SL", "CASE", "YEAR"])
     text = F.trim(F.regexp_replace(F.regexp_replace(text, r"NO(?=\d)", " "), "[^A-Z0-9]+", " "))
-    text = F.regexp_replace(text, r"\b([A-Z]{1,8})(\d{1,7})\b", "$1 $2")
-    pattern = r"([A-Z0-9]{1,8})\s*([0-9OILSBGZQD]{1,7})\s*([0-9OILSBGZQD]{4})"
+    text = F.regexp_replace(text, r"\b([A-Z]{1,8})(\d+)\b", "$1 $2")
+    pattern = r"([A-Z0-9]{1,8})\s*([0-9OILSBGZQD]+)\s*([0-9OILSBGZQD]{4})"
     kind, number, year = (F.regexp_extract(text, pattern, k) for k in (1, 2, 3))
     if ocr:
         digits, alphas = ("".join(K.OCR_DIGITS), "".join(K.OCR_DIGITS.values())), ("".join(K.OCR_LETTERS), "".join(K.OCR_LETTERS.values()))
         kind, number, year = F.translate(kind, *alphas), F.translate(number, *digits), F.translate(year, *digits)
-    leading = F.regexp_extract(number, r"^\d+", 0).try_cast("bigint").cast("string")  # as far as it is a number
-    return F.when(text.rlike(pattern), F.concat_ws("/", kind, F.coalesce(leading, number), year)).otherwise(text)
+    leading = F.regexp_replace(F.regexp_extract(number, r"^\d+", 0), r"^0+(?=\d)", "")  # as far as it is a number
+    return F.when(text.rlike(pattern), F.concat_ws("/", kind, F.coalesce(F.nullif(leading, F.lit("")), number), year)).otherwise(text)
 
 
 def case_key_from_parts(kind: Column, number: Column, year: Column) -> Column:

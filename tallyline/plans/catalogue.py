@@ -183,7 +183,7 @@ def tiering(spark: SparkSession, sf: str) -> DataFrame:
 SELECT o_orderkey, 'WP/' || o_orderkey || '/' || year(o_orderdate) AS case_key FROM orders
 """)
 def case_key_norm(spark: SparkSession, sf: str) -> DataFrame:
-    """One case number as four spellings print it; all give one key. Keys of up to seven digits."""
+    """One case number as four spellings print it; all give one key, however many digits it has."""
     year = F.year("o_orderdate").cast("string")
     key = F.col("o_orderkey").cast("string")
     kind = F.col("o_orderkey") % 4

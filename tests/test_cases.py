@@ -45,3 +45,10 @@ def test_mentions_dates_noise_spans(spark):
     assert [r[0] for r in df.select(is_noise(F.col("x"))).collect()] == [False, True, True, True, True, True]
     df = spark.createDataFrame([("a.b x a.b", "a.b"), ("aaa", "aa"), ("x", "")], "t string, n string").coalesce(1)
     assert [[(s["start"], s["end"]) for s in r[0]] for r in df.select(highlight_spans(F.col("t"), F.col("n"))).collect()] == [[(0, 3), (6, 9)], [(0, 2)], []]
+
+
+def test_long_numbers(spark):
+    """Numbers of any length keep all digits, without leading zeros."""
+    table = [("W.P.No.1234567890/2024", "WP/1234567890/2024"), ("WP/00150000/2024", "WP/150000/2024"), ("wp 12345678 of 2024", "WP/12345678/2024"), ("WP12345678/2024", "WP/12345678/2024"), ("W.P. 123456789012345678901 / 2024", "WP/123456789012345678901/2024")]
+    df = spark.createDataFrame(table, "x string, y string")
+    assert [r for r in df.select("*", case_key(F.col("x")).alias("got")).collect() if r["got"] != r["y"]] == []
