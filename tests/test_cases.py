@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tallyline import constants as K
 from tallyline.functions.text import case_key, case_key_from_parts, case_mentions, dates_iso, highlight_spans, is_noise
 from tallyline.operators.ranges import expand_case_cells
 
@@ -52,3 +53,11 @@ def test_long_numbers(spark):
     table = [("W.P.No.1234567890/2024", "WP/1234567890/2024"), ("WP/00150000/2024", "WP/150000/2024"), ("wp 12345678 of 2024", "WP/12345678/2024"), ("WP12345678/2024", "WP/12345678/2024"), ("W.P. 123456789012345678901 / 2024", "WP/123456789012345678901/2024")]
     df = spark.createDataFrame(table, "x string, y string")
     assert [r for r in df.select("*", case_key(F.col("x")).alias("got")).collect() if r["got"] != r["y"]] == []
+
+
+def test_long_numbers_in_lines(spark):
+    """Lines open items and notices also where case numbers have more than six digits."""
+    df = spark.createDataFrame([("W.P.Nos.9000000 and 9000001/2024 as above",), ("CRP 1234567 of 2021",)], "x string").coalesce(1)
+    assert [list(r[0]) for r in df.select(case_mentions(F.col("x"))).collect()] == [["W.P.Nos.9000000 and 9000001/2024"], ["CRP 1234567 of 2021"]]
+    opened = spark.createDataFrame([("12  WP/9000000/2024 PARTY7",)], "x string").select(F.regexp_extract("x", K.ITEM_START, 1), F.regexp_extract("x", K.ITEM_START, 2)).first()
+    assert tuple(opened) == ("12", "WP/9000000/2024")
