@@ -192,3 +192,24 @@ def test_from_pages_to_exports(spark):
     out = run(Inputs(found["items"], found["item_names"], spark.createDataFrame([(0, sorted(names)[3], None, None)], roster.schema), register))
     rows = {r["CaseNumber"]: r for r in out["export_rows"].collect()}
     assert rows["W.P.No.7/2026"]["DiaryNo"] == "D7" and any(r["PrintedName"] == sorted(names)[3] and r["Tier"] == "Matched" for r in rows.values())
+
+
+def test_parties_are_compared_once_for_each_text(spark, monkeypatch):
+    """Items that print the same parties are not compared with the register one by one."""
+    from pyspark.sql import functions as F
+
+    from tallyline.operators import matching
+    from tallyline.plans.listings import register_of
+
+    n = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def seen(title):
+        n.add(1)
+        return 0.9 if title.startswith("red") else 0.1
+
+    monkeypatch.setattr(matching, "party_similarity", lambda title, party: seen(title))
+    items = spark.range(50).select(F.col("id").alias("item_id"), F.lit("red bolt").alias("petitioner"), F.lit(None).cast("string").alias("respondent"))
+    register = register_of(spark.createDataFrame([(0, "red bolt vs X"), (1, "red's bolt"), (2, "bolt works")], "k long, t string").filter("k <> 1"), case_ord=F.col("k"), cause_title=F.col("t"))
+    got = matching.match_parties(items, register).select("item_id", "by_party.case_ord").collect()
+    assert sorted(map(tuple, got)) == [(i, 0) for i in range(50)] and n.value <= 4
