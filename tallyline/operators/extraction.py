@@ -241,16 +241,29 @@ def sweep(page_lines: DataFrame, pages: DataFrame, roster: DataFrame, most: int
 
 
 def nearest_items(points: DataFrame, items: DataFrame, reach: float = 40.0) -> DataFrame:
-    """points (file, page, y, ...) with item_id and within: the item whose band holds the point, else the nearest within reach."""
-    bands_ = items.filter("y_top is not null").select(*PAGE, "item_id", "y_top", "y_bot")
-    pairs = points.join(bands_, PAGE, "left")
-    inside = F.coalesce((F.col("y") <= F.col("y_top") + 1) & (F.col("y") >= F.col("y_bot") - 1), F.lit(False))
-    gap = F.when(inside, 0.0).otherwise(F.when(F.col("y") > F.col("y_top"), F.col("y") - F.col("y_top")).otherwise(F.col("y_bot") - F.col("y")))
-    pairs = pairs.withColumns({"within": inside, "gap": gap})
+    """points (file, page, y, ...) with item_id and within: the item whose band holds the point, else the nearest within reach.
+
+    Points and bands of a page are sorted together and swept, so no pairs are made. Of the bands that begin at or below a
+    point the one with the highest top holds it, if any does. If none does, the nearest is the highest top below the
+    point, or the lowest bottom of the bands whose top is not below it. Ties: the higher top, then the first item.
+    """
     keys = list(points.columns)
-    best = first_by(pairs, keys, [F.desc("within"), F.col("gap"), F.desc("y_top"), F.col("item_id")])
-    keep = F.col("gap") <= reach
-    return best.select(*keys, F.when(keep, F.col("item_id")).alias("item_id"), F.when(keep, F.col("within")).otherwise(F.lit(False)).alias("within"))
+    band = F.struct(F.col("y_top").cast("double").alias("y_top"), F.col("y_bot").cast("double").alias("y_bot"), "item_id")
+    bands_ = items.filter("file is not null and page is not null and y_top is not null").select(*PAGE, band.alias("b"))
+    marks = points.distinct().select(*PAGE, F.struct(*keys).alias("p")).unionByName(bands_, allowMissingColumns=True)
+    y, b = F.col("p.y"), F.col("b")
+    marks = marks.withColumns({"_from": F.when(b.isNull(), y).otherwise(b["y_bot"] - 1), "_top": F.when(b.isNull(), y).otherwise(b["y_top"]), "_point": b.isNull()})
+    sweep_by = lambda *order: Window.partitionBy(*PAGE).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    upward, below, down = sweep_by("_from", "_point"), sweep_by("_top", F.desc("_point")), sweep_by(F.desc("_top"), "_point")
+    highest = F.min_by(b, F.when(b.isNotNull(), F.struct((-b["y_top"]).alias("k"), b["item_id"])))
+    begun = F.min_by(b, F.when(b["y_bot"].isNotNull(), F.struct((-b["y_top"]).alias("k"), b["item_id"])))
+    lowest = F.min_by(b, F.when(b["y_bot"].isNotNull(), F.struct(b["y_bot"], (-b["y_top"]).alias("k"), b["item_id"])))
+    swept = marks.withColumn("_in", begun.over(upward)).withColumn("_under", highest.over(below)).withColumn("_over", lowest.over(down)).filter("_point")
+    within = F.coalesce(y <= F.col("_in.y_top") + 1, F.lit(False))
+    choice = lambda c, gap: F.when(gap.isNotNull(), F.struct(gap.alias("gap"), (-c["y_top"]).alias("k"), c["item_id"]))
+    nearest = F.array_min(F.filter(F.array(choice(F.col("_under"), y - F.col("_under.y_top")), choice(F.col("_over"), F.col("_over.y_bot") - y)), lambda c: c.isNotNull()))
+    near = F.when(nearest["gap"] <= reach, nearest["item_id"])
+    return swept.select("p.*", F.when(within, F.col("_in.item_id")).otherwise(near).alias("item_id"), within.alias("within"))
 
 
 def reconcile(items: DataFrame, names: DataFrame, hits: DataFrame) -> tuple[DataFrame, DataFrame]:

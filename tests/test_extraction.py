@@ -137,3 +137,29 @@ def test_nearest(spark):
     points = spark.createDataFrame([("f", 1, y) for y in (90.0, 70.0, 55.0, 10.5, 5.0)], "file string, page int, y double")
     got = {r["y"]: (r["item_id"], r["within"]) for r in nearest_items(points, items).collect()}
     assert got == {90.0: ("a", True), 70.0: ("a", False), 55.0: ("b", True), 10.5: ("b", False), 5.0: (None, False)}
+
+
+def test_nearest_items_is_a_sweep(spark):
+    """The same as comparing all pairs, with equal tops, bands within bands, bands upside down and none; and no pairs are made."""
+    import random
+
+    from tallyline.operators.extraction import nearest_items
+
+    r = random.Random(5)
+    bands = [("f", p, f"i{k:03d}", float(t := r.randrange(0, 400)), float(t - r.choice([0, 1, 3, 30, 90, -5]))) for p in (1, 2) for k in range(40)] + [("f", 4, "x", None, 3.0), (None, 1, "n", 5.0, 1.0), ("f", 1, "b", 300.0, None)]
+    points = [("f", p, float(r.randrange(-60, 460)) + r.choice([0.0, 0.5])) for p in (1, 2, 3, 4) for _ in range(60)] + [(None, 1, 4.0)]
+
+    def plain(f, p, y):
+        found = []
+        for bf, bp, i, top, bot in bands:
+            if (bf, bp) != (f, p) or f is None or top is None or (bot is None and y <= top):
+                continue
+            inside = bot is not None and bot - 1 <= y <= top + 1
+            found.append((not inside, 0.0 if inside else y - top if y > top else bot - y, -top, i))
+        best = min(found, default=None)
+        return (best[3], not best[0]) if best and best[1] <= 40 else (None, False)
+
+    items = spark.createDataFrame(bands, "file string, page int, item_id string, y_top double, y_bot double")
+    got = nearest_items(spark.createDataFrame(points, "file string, page int, y double"), items)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((str(x["file"]), x["page"], x["y"], x["item_id"], x["within"]) for x in got.collect()) == sorted((str(f), p, y, *plain(f, p, y)) for f, p, y in set(points))
