@@ -112,8 +112,8 @@ def _cell(columns: dict[str, int], field: str) -> Column:
 
 
 def first_row(rows: DataFrame) -> list[str]:
-    got = rows.orderBy("ord").limit(1).collect()
-    return list(got[0]["cells"]) if got else []
+    got = rows.agg(F.min_by("cells", "ord").alias("cells")).first()
+    return list(got["cells"]) if got["cells"] is not None else []
 
 
 def _numbered(roster: DataFrame) -> DataFrame:
