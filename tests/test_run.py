@@ -213,3 +213,10 @@ def test_parties_are_compared_once_for_each_text(spark, monkeypatch):
     register = register_of(spark.createDataFrame([(0, "red bolt vs X"), (1, "red's bolt"), (2, "bolt works")], "k long, t string").filter("k <> 1"), case_ord=F.col("k"), cause_title=F.col("t"))
     got = matching.match_parties(items, register).select("item_id", "by_party.case_ord").collect()
     assert sorted(map(tuple, got)) == [(i, 0) for i in range(50)] and n.value <= 4
+
+
+def test_ranked_numbers_rows_without_one_task(spark):
+    from tallyline.operators._common import ranked
+
+    got = ranked(spark.range(0, 5000, 1, 7).selectExpr("(id * 7919) % 5000 as v"), ["v"], "n")
+    assert got.filter("n <> v").count() == 0 and got.count() == 5000
